@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op8_sainte_lague_mixing
+from .quality_rules import op7_mcd_quality_rules
 from .sharding import op3_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op8_sainte_lague_mixing": op8_sainte_lague_mixing,
 }
 
