@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op8_sainte_lague_mixing
+from .quality_classifier import op10_rule_ensemble_quality
 from .quality_rules import op7_mcd_quality_rules
 from .sharding import op3_rendezvous_sharding
 
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op8_sainte_lague_mixing": op8_sainte_lague_mixing,
+    "op10_rule_ensemble_quality": op10_rule_ensemble_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
