@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op8_sainte_lague_mixing
 from .near_dedup import op6_tensored_minhash_dedup
+from .packing import op1_nnls_packing
 from .quality_classifier import op10_rule_ensemble_quality
 from .quality_rules import op7_mcd_quality_rules
 from .sharding import op3_rendezvous_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnls_packing": op1_nnls_packing,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op6_tensored_minhash_dedup": op6_tensored_minhash_dedup,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
