@@ -68,6 +68,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def kept_where(df: DataFrame, verdict: str) -> DataFrame:
+    """The rows whose column `verdict` is true. The row number, which the optimizer can't move, keeps the filter above the
+    projection that makes the verdict; pushed below, it would copy every statistic into every rule that uses it."""
+    row = free_name(df, "row")
+    return df.withColumn(row, F.monotonically_increasing_id()).filter(F.col(verdict) & (F.col(row) >= 0)).drop(row)
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; null gives an empty array."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import kept_where, staged, table
 from .textstats import with_stats
 
 SAMPLE = 20_000
@@ -185,7 +185,8 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score `threshold` or more, with the same columns."""
-    return scored(docs, learn(docs, labels), "_c_score").filter(F.col("_c_score") >= threshold).select(*docs.columns)
+    good = scored(docs, learn(docs, labels), "_c_score").withColumn("_c_good", F.col("_c_score") >= threshold)
+    return kept_where(good, "_c_good").select(*docs.columns)
 
 
 def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, table
+from .common import kept_where, staged, table
 from .textstats import BASE, with_stats
 
 #: Least standard deviation of each statistic: rounding and short texts alone spread it so far.
@@ -142,7 +142,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     cols = [f"{p}{x}" for x in [*BASE, "n_upper", "n_lines"]]
     light = staged(_stats(docs, p).select("lang", "source", *cols), "stats")
     keys, est = fit(light, p)
-    return judged(_stats(docs, p), keys, est, p).filter(f"{p}kept").select(*docs.columns)
+    return kept_where(judged(_stats(docs, p), keys, est, p), f"{p}kept").select(*docs.columns)
 
 
 def op7_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
