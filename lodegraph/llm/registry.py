@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op9_consensus_html
 from .mixing import op8_sainte_lague_mixing
 from .near_dedup import op6_tensored_minhash_dedup
 from .packing import op1_nnls_packing
 from .quality_classifier import op10_rule_ensemble_quality
 from .quality_rules import op7_mcd_quality_rules
 from .sharding import op3_rendezvous_sharding
+from .warc import op5_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnls_packing": op1_nnls_packing,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_tensored_minhash_dedup": op6_tensored_minhash_dedup,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
     "op8_sainte_lague_mixing": op8_sainte_lague_mixing,
+    "op9_consensus_html": op9_consensus_html,
     "op10_rule_ensemble_quality": op10_rule_ensemble_quality,
 }
 
