@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_text import op9_consensus_html
 from .mixing import op8_sainte_lague_mixing
 from .near_dedup import op6_tensored_minhash_dedup
+from .neighbours import op2_projected_neighbours
 from .packing import op1_nnls_packing
 from .quality_classifier import op10_rule_ensemble_quality
 from .quality_rules import op7_mcd_quality_rules
@@ -17,6 +18,7 @@ from .warc import op5_warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op2_projected_neighbours": op2_projected_neighbours,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_tensored_minhash_dedup": op6_tensored_minhash_dedup,
