@@ -98,10 +98,11 @@ def _described(width: int):
                 if len(s):
                     with np.errstate(over="ignore"):
                         f1, f2 = _mix(s ^ _ODD[5]).sum(dtype=np.uint64), _mix(s ^ _ODD[6]).sum(dtype=np.uint64)
-                    out.append((i, len(s), int(f1.astype(np.int64)), int(f2.astype(np.int64)), minhashes(s).tobytes()))
+                    sig = minhashes(s)
+                    out.append((i, len(s), int(f1.astype(np.int64)), int(f2.astype(np.int64)), sig.tobytes(), sig.astype(np.uint8).tobytes()))
                 else:
-                    out.append((i, 0, 0, 0, b""))
-            yield pd.DataFrame(out, columns=["id", "n", "f1", "f2", "sig"])
+                    out.append((i, 0, 0, 0, b"", b""))
+            yield pd.DataFrame(out, columns=["id", "n", "f1", "f2", "sig", "low"])
 
     return run
 
@@ -170,21 +171,56 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of distinct ids of which two full sets are similar enough. `texts`: (id, text)."""
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(texts.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, set array<long>"), "sets")
+def _alike(percent: int):
+    """Of pairs (a, b, ka, kb), those whose low bytes of minhashes don't rule the similarity out, with their agreement."""
+    least = _least(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            x, y = (np.frombuffer(b"".join(p[k]), np.uint8).reshape(len(p), HASHES) for k in ("ka", "kb"))
+            same = (x == y).sum(1)
+            ok = same >= least * HASHES
+            yield pd.DataFrame({"a": p["a"].to_numpy()[ok], "b": p["b"].to_numpy()[ok], "same": same[ok].astype(np.int32)})
+
+    return run
+
+
+def _least(percent: int) -> float:
+    s = percent / 100
+    return s - 5 * float(np.sqrt(s * (1 - s) / HASHES))
+
+
+def _fetched(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, set) of every id in `pairs`. The semi join may first thin the texts by Spark's own run-time Bloom filter."""
+    spark = pairs.sparkSession
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids").filter(F.col("id") >= F.lit(-(1 << 63)))
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16MB")
+    try:
+        return staged(texts.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, set array<long>"), "sets")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of distinct ids of which two full sets are similar enough."""
     one, two = sets.withColumnsRenamed({"id": "a", "set": "sa"}), sets.withColumnsRenamed({"id": "b", "set": "sb"})
-    both = pairs.join(one, "a").join(two, "b")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return staged(both.withColumn("c", common).filter(100 * F.col("c") >= percent * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b").distinct(), "links")
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component yet."""
+    one, two = roots.select(F.col("id").alias("x"), F.col("root").alias("rx")), roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
+    d = pairs.join(one, F.col("a") == F.col("x"), "left").join(two, F.col("b") == F.col("y"), "left")
+    return d.filter(F.coalesce("rx", "a") != F.coalesce("ry", "b")).select(*pairs.columns)
+
+
 def _blocks(percent: int):
     """For one bucket and two of its blocks: the pairs across components whose minhashes don't rule the similarity out."""
-    s = percent / 100
-    least = s - 5 * float(np.sqrt(s * (1 - s) / HASHES)) - 0.02
+    least = _least(percent)
 
     def run(_key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(one["sig"]), np.uint32).reshape(len(one), HASHES)
@@ -203,8 +239,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
     """(doc_id, n_shingles, component_id) for each row of `docs`: the smallest id reachable over links of
     100 * intersection >= percent * union between sets of `width`-word shingles."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    seen = staged(texts.mapInPandas(_described(width), "id long, n int, f1 long, f2 long, sig binary"), "described")
-    classes = seen.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
+    seen = staged(texts.mapInPandas(_described(width), "id long, n int, f1 long, f2 long, sig binary, low binary"), "described")
+    classes = seen.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("low").alias("low"))
     classes = staged(classes, "classes")
     keys = classes.select(F.col("rep").alias("id"), "n", "sig").mapInPandas(_keys, "key long, sub int, id long, n int, ord int")
     order = Window.partitionBy("key", "sub").orderBy("ord", "id")
@@ -213,7 +249,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
     pairs = met.select("id", "n", F.explode("before").alias("o")).filter((F.col("id") != F.col("o.i")) & (100 * F.least("n", "o.m") >= percent * F.greatest("n", "o.m")))
     pairs = pairs.select(F.least("id", "o.i").alias("a"), F.greatest("id", "o.i").alias("b")).distinct()
     texts = texts.filter(F.col("id").isNotNull())
-    links = _confirmed(pairs, texts, width, percent)
+    low = classes.groupBy("rep").agg(F.min("low").alias("low"))
+    ends = [low.select(F.col("rep").alias(x), F.col("low").alias(f"k{x}")) for x in "ab"]
+    pairs = staged(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "ka", "kb").mapInPandas(_alike(percent), "a long, b long, same int"), "pairs")
+    sets = _fetched(pairs, texts, width)
+    # each class's most alike partner first: most components stand then, and pairs inside one need no confirmation
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
+    best = both.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("o"))).alias("top")).select("a", (-F.col("top.o")).alias("b"))
+    links = _confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+    roots = components(links)
+    links = links.union(_confirmed(_across(pairs, roots), sets, percent))
     roots = components(links)
     large = met.filter((F.size("before") >= WINDOW) | (F.col("sub") != 0)).select("key").distinct()
     inside = met.join(large, "key", "left_semi")
@@ -229,8 +274,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
         left = inside.select("key", F.col("block").alias("x"), F.explode(F.filter(steps, lambda j: j >= F.col("block"))).alias("y"), "id", "root", "sig")
         right = inside.select("key", F.explode(F.filter(steps, lambda j: j <= F.col("block"))).alias("x"), F.col("block").alias("y"), "id", "root", "sig")
         more = left.groupBy("key", "x", "y").cogroup(right.groupBy("key", "x", "y")).applyInPandas(_blocks(percent), "a long, b long").distinct()
-        more = _confirmed(more, texts, width, percent)
+        more = staged(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
+            more = _confirmed(more, _fetched(more, texts, width), percent)
             roots = components(links.union(more))
     names = roots.groupBy("root").agg(F.min("id").alias("component"))
     named = staged(roots.join(names, "root").select(F.col("id").alias("rep"), "component"), "named")
