@@ -1,5 +1,5 @@
 """Imports the modules that register queries."""
 
-from . import history
+from . import code, history
 
-__all__ = ["history"]
+__all__ = ["code", "history"]
