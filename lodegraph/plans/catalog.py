@@ -1,5 +1,5 @@
 """Imports the modules that register queries."""
 
-from . import code, history
+from . import code, graphs, history
 
-__all__ = ["code", "history"]
+__all__ = ["code", "graphs", "history"]
