@@ -1,5 +1,5 @@
 """Imports the modules that register queries."""
 
-from . import code, graphs, history, rules
+from . import code, graphs, history, rules, streams
 
-__all__ = ["code", "graphs", "history", "rules"]
+__all__ = ["code", "graphs", "history", "rules", "streams"]
