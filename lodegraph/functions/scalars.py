@@ -47,7 +47,7 @@ def erfc(c: Column) -> Column:
     poly = F.lit(ERFC_TERMS[-1])
     for a in reversed(ERFC_TERMS[1:-1]):
         poly = F.lit(a) + t * poly
-    return t * F.exp(-c * c - F.lit(ERFC_TERMS[0]) - t * (F.lit(0.0) - poly))
+    return t * F.exp(-c * c - F.lit(ERFC_TERMS[0]) - t * poly)
 
 
 def entropy(share: Column, n: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalars import erfc
 
-_W = Window.partitionBy("series")
-_O = Window.partitionBy("series").orderBy("idx")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("series").orderBy("idx")
 
 
 def with_mad(d: DataFrame) -> DataFrame:
@@ -54,9 +55,9 @@ def western_electric(d: DataFrame) -> DataFrame:
     """(series, idx, rule): the window's last point for six rules on MAD-scaled sigma: one beyond 3, two of three beyond 2,
     four of five beyond 1 (one side), eight on one side, six rising or falling, fourteen alternating."""
     d = with_mad(d).withColumn("sd", F.greatest(F.col("mad") * 1.4826, F.lit(1e-9))).withColumn("u", (F.col("value") - F.col("med")) / F.col("sd"))
-    step = F.signum(F.col("value") - F.lag("value").over(_O))
-    d = d.withColumn("step", step).withColumn("turn", (F.col("step") * F.lag("step").over(_O) < 0).cast("int"))
-    last = lambda k: _O.rowsBetween(1 - k, 0)
+    step = F.signum(F.col("value") - F.lag("value").over(_order()))
+    d = d.withColumn("step", step).withColumn("turn", (F.col("step") * F.lag("step").over(_order()) < 0).cast("int"))
+    last = lambda k: _order().rowsBetween(1 - k, 0)
     over = lambda cond, k: F.sum(cond.cast("int")).over(last(k))
     u, full = F.col("u"), lambda k: F.count(F.lit(1)).over(last(k)) == k
     rules = [
@@ -89,19 +90,19 @@ def cusum(d: DataFrame, drift: float = 0.5, threshold: float = 4.0) -> DataFrame
 
 def lag_deltas(d: DataFrame) -> DataFrame:
     """Step from the point before, and its direction."""
-    d = d.withColumn("delta", F.col("value") - F.lag("value").over(_O)).filter(F.col("delta").isNotNull())
+    d = d.withColumn("delta", F.col("value") - F.lag("value").over(_order())).filter(F.col("delta").isNotNull())
     return d.select("series", "idx", "value", "delta", F.when(F.col("delta") > 0, "up").when(F.col("delta") < 0, "down").otherwise("flat").alias("direction"))
 
 
 def rate_of_change(d: DataFrame, least: float = 0.2) -> DataFrame:
     """Points at least `least` away from the one before, relatively."""
-    d = d.withColumn("before", F.lag("value").over(_O))
+    d = d.withColumn("before", F.lag("value").over(_order()))
     return d.filter(F.col("before") != 0).withColumn("rate", (F.col("value") - F.col("before")) / F.abs("before")).filter(F.abs("rate") >= least).select("series", "idx", "rate")
 
 
 def moving_average(d: DataFrame, w: int = 5) -> DataFrame:
     """Mean of the `w` points before each point."""
-    return d.select("series", "idx", "value", F.avg("value").over(_O.rowsBetween(-w, -1)).alias("mean"))
+    return d.select("series", "idx", "value", F.avg("value").over(_order().rowsBetween(-w, -1)).alias("mean"))
 
 
 def forecast_steps(fits: DataFrame, last: DataFrame, limit: float) -> DataFrame:
@@ -117,5 +118,5 @@ def latest(d: DataFrame) -> DataFrame:
 
 def digest(d: DataFrame) -> DataFrame:
     """The latest value against the one before."""
-    d = d.withColumn("before", F.lag("value").over(_O)).withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("idx"))))
+    d = d.withColumn("before", F.lag("value").over(_order())).withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("idx"))))
     return d.filter("n = 1").select("series", "value", "before", (F.col("value") - F.col("before")).alias("delta"))
