@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op9_consensus_html
+from .licenses import op4_dice_license_scan
 from .mixing import op8_sainte_lague_mixing
 from .near_dedup import op6_tensored_minhash_dedup
 from .neighbours import op2_projected_neighbours
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_projected_neighbours": op2_projected_neighbours,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
+    "op4_dice_license_scan": op4_dice_license_scan,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_tensored_minhash_dedup": op6_tensored_minhash_dedup,
     "op7_mcd_quality_rules": op7_mcd_quality_rules,
