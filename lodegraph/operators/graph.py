@@ -23,7 +23,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
     smallest ids among shortest paths. Seeds have dist 0 and no via or parent."""
     frontier = cut(seeds.select("root", "node").distinct().select("root", "node", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent")))
     found, step = frontier, 0
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     while step < hops:
         step += 1
         nxt = frontier.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.coalesce("via", "dst").alias("via"), F.col("node").alias("parent"))
@@ -185,7 +185,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, *, exact: int = 1000, edg
     the adjacency, whose size is checked: above `edge_limit` edges it raises ValueError (about 200 MB a task). Exact up to
     `exact` vertices, else max(200, 5 sqrt n) pivots of smallest seeded hash, scaled by n / pivots."""
     spark = vertices.sparkSession
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())
     m = e.count()
     if m > edge_limit:
         raise ValueError(f"{m} edges; the limit of the adjacency that tasks hold is {edge_limit}")
@@ -275,7 +275,7 @@ def effects(edges: DataFrame, direct: DataFrame) -> DataFrame:
     """(id, effect, source): effects of a symbol, direct or of anything it reaches."""
     facts = cut(direct.select("id", "effect").distinct())
     known, delta = facts, facts
-    back = edges.select(F.col("src").alias("caller"), F.col("dst").alias("id")).distinct()
+    back = cut(edges.select(F.col("src").alias("caller"), F.col("dst").alias("id")).distinct())
     while True:
         delta = cut(delta.join(back, "id").select(F.col("caller").alias("id"), "effect").distinct().join(known, ["id", "effect"], "left_anti"))
         if delta.isEmpty():
@@ -303,7 +303,7 @@ def extinction(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame, source: int, target: int, *, most: int = 4, k: int = 3) -> DataFrame:
     """(cost, path): the k cheapest simple paths up to `most` edges; a call costs 1, an import 1.1, else 2."""
-    e = edges.groupBy("src", "dst").agg(F.min(F.when(F.col("kind") == "call", 1.0).when(F.col("kind") == "import", 1.1).otherwise(2.0)).alias("w"))
+    e = cut(edges.groupBy("src", "dst").agg(F.min(F.when(F.col("kind") == "call", 1.0).when(F.col("kind") == "import", 1.1).otherwise(2.0)).alias("w")))
     near = reach(reverse(e), e.sparkSession.createDataFrame([(target,)], "node long"), most).select("node", F.col("dist").alias("togo"))
     near = cut(near)
     frontier = e.sparkSession.createDataFrame([([source], 0.0)], "path array<long>, cost double")
@@ -390,6 +390,7 @@ def min_cuts(edges: DataFrame, labels: DataFrame, *, most: int = 200_000) -> Dat
 
 def safe_zone(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, boundary): nodes within `depth` forward or backward of start (id); boundary if a neighbour lies outside."""
+    edges = cut(edges.select("src", "dst"))
     seeds = start.select(F.col("id").alias("node"))
     zone = cut(reach(edges, seeds, depth).select("node").union(reach(reverse(edges), seeds, depth).select("node")).distinct().select(F.col("node").alias("id")))
     both = edges.unionByName(reverse(edges))
