@@ -90,7 +90,7 @@ def with_mix(df: DataFrame, key: str, size: str, source: str, *, weights: tuple[
     at = sainte_lague(at, ["pos"], "shard", "words", "quota", "part")
     at = at.withColumn("blocks", F.ceil(F.col("words") / F.lit(block)).cast("long")).withColumn("part", F.least(F.col("part"), (F.col("blocks") * int(most)).cast("long")))
     n = F.greatest(F.col("blocks"), F.lit(1))
-    at = at.select(F.col("pos").alias("_pos"), F.col("shard").alias("_shard"), n.alias(c["blocks"]), F.floor(F.col("part") / n).cast("long").alias(c["full"]), (F.col("part") % n).alias(c["extra"]), (F.crc32(F.encode(F.concat_ws(":", F.lit(str(seed)), "pos", "shard"), "UTF-8")) % n).alias(c["shift"]))
+    at = at.select(F.col("pos").alias("_pos"), F.col("shard").alias("_shard"), n.alias(c["blocks"]), F.floor(F.col("part") / n).cast("long").alias(c["full"]), (F.col("part") % n).alias(c["extra"]), (_number(F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), "pos", "shard"), "UTF-8")), 1, 8) % n).alias(c["shift"]))
     at = staged(at, "quotas")
     srcs = srcs.select(F.col("source").alias("_source"), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]), F.col("pos").alias("_spos"), F.col("shards").alias("_shards"))
     d = d.join(srcs, d[source].eqNullSafe(srcs["_source"]), "left").withColumn(c["shard"], F.col(c["fine"]) % F.col("_shards"))

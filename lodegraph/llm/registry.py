@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .html_text import op9_consensus_html
 from .licenses import op4_dice_license_scan
 from .mixing import op8_sainte_lague_mixing
@@ -30,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rule_ensemble_quality": op10_rule_ensemble_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": oracles.WARC,
+    "op6_tensored_minhash_dedup": oracles.DEDUP,
+    "op8_sainte_lague_mixing": oracles.MIXING,
+}
