@@ -76,8 +76,11 @@ def _number(hexes: Column, start: int, digits: int) -> Column:
 
 def with_mix(df: DataFrame, key: str, size: str, source: str, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 1) -> tuple[DataFrame, dict[str, str]]:
     """`df` with columns for source size, target, taken, and what block_times() needs; the dict gives the added columns'
-    names (underscored where `df` has the name). Rows are shuffled once, by shard."""
-    c = {k: free_name(df, k) for k in ("draw", "fine", "source_size", "target", "taken", "shard", "place", "blocks", "full", "extra", "shift")}
+    names, which no column of `df` has. Rows are shuffled once, by shard."""
+    p = "_mix_"
+    while any(x.lower().startswith(p) for x in df.columns):
+        p = f"_{p}"
+    c = {k: f"{p}{k}" for k in ("draw", "fine", "source_size", "target", "taken", "shard", "place", "blocks", "full", "extra", "shift")}
     d = df.withColumn(c["draw"], _draw(F.col(key), seed)).withColumn(c["fine"], _number(F.col(c["draw"]), 1, 8) % FINE)
     cells = staged(d.groupBy(F.col(source).alias("source"), F.col(c["fine"]).alias("fine")).agg(F.sum(size).cast("long").alias("words")), "cells")
     srcs = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -90,18 +93,18 @@ def with_mix(df: DataFrame, key: str, size: str, source: str, *, weights: tuple[
     at = sainte_lague(at, ["pos"], "shard", "words", "quota", "part")
     at = at.withColumn("blocks", F.ceil(F.col("words") / F.lit(block)).cast("long")).withColumn("part", F.least(F.col("part"), (F.col("blocks") * int(most)).cast("long")))
     n = F.greatest(F.col("blocks"), F.lit(1))
-    at = at.select(F.col("pos").alias("_pos"), F.col("shard").alias("_shard"), n.alias(c["blocks"]), F.floor(F.col("part") / n).cast("long").alias(c["full"]), (F.col("part") % n).alias(c["extra"]), (_number(F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), "pos", "shard"), "UTF-8")), 1, 8) % n).alias(c["shift"]))
+    at = at.select(F.col("pos").alias(f"{p}pos_key"), F.col("shard").alias(f"{p}shard_key"), n.alias(c["blocks"]), F.floor(F.col("part") / n).cast("long").alias(c["full"]), (F.col("part") % n).alias(c["extra"]), (_number(F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), "pos", "shard"), "UTF-8")), 1, 8) % n).alias(c["shift"]))
     at = staged(at, "quotas")
-    srcs = srcs.select(F.col("source").alias("_source"), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]), F.col("pos").alias("_spos"), F.col("shards").alias("_shards"))
-    d = d.join(srcs, d[source].eqNullSafe(srcs["_source"]), "left").withColumn(c["shard"], F.col(c["fine"]) % F.col("_shards"))
-    d = d.join(at, (F.col("_spos") == F.col("_pos")) & (F.col(c["shard"]) == F.col("_shard")), "left")
-    order = Window.partitionBy("_spos", c["shard"]).orderBy(c["draw"], key, size).rowsBetween(Window.unboundedPreceding, -1)
+    srcs = srcs.select(F.col("source").alias(f"{p}source_key"), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]), F.col("pos").alias(f"{p}spos_key"), F.col("shards").alias(f"{p}shards_key"))
+    d = d.join(srcs, d[source].eqNullSafe(srcs[f"{p}source_key"]), "left").withColumn(c["shard"], F.col(c["fine"]) % F.col(f"{p}shards_key"))
+    d = d.join(at, (F.col(f"{p}spos_key") == F.col(f"{p}pos_key")) & (F.col(c["shard"]) == F.col(f"{p}shard_key")), "left")
+    order = Window.partitionBy(f"{p}spos_key", c["shard"]).orderBy(c["draw"], key, size).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn(c["place"], F.coalesce(F.sum(size).over(order), F.lit(0)).cast("long"))
     first, end = F.col(c["place"]), F.col(c["place"]) + F.col(size)
     spans = F.sequence(F.floor(first / block).cast("long"), F.floor((end - 1) / block).cast("long"))
     taken = F.aggregate(spans, F.lit(0).cast("long"), lambda a, b: a + (F.least(end, (b + 1) * block) - F.greatest(first, b * block)) * block_times(b, c))
     d = d.withColumn(c["taken"], F.when(F.col(size) > 0, taken).otherwise(F.lit(0)).cast("long"))
-    return d.drop("_source", "_spos", "_shards", "_pos", "_shard"), c
+    return d.drop(f"{p}source_key", f"{p}spos_key", f"{p}shards_key", f"{p}pos_key", f"{p}shard_key"), c
 
 
 def block_times(b: Column, c: dict[str, str]) -> Column:
