@@ -89,15 +89,14 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, per_task: int = 200_000, tie: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, per_task: int = 200_000, least: int = 64) -> DataFrame:
     """Adds `name`: a gapless number from 0 within each group, whatever the group's size.
 
     A group is dealt out over as many hash buckets as its count asks for (`per_task` rows each), numbered inside each
     bucket, and shifted by the counts of the buckets before it. No task ever holds more than a bucket.
     """
-    spark = df.sparkSession
     n = df.count()
-    buckets = max(64, -(-n // per_task))
+    buckets = max(least, -(-n // per_task))
     b, cnt, off = (free_name(df, x) for x in ("bucket", "cnt", "off"))
     keyed = df.withColumn(b, F.pmod(F.xxhash64(F.lit(7), *order), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias(cnt))
@@ -109,5 +108,4 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, per_
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    del spark
     return ranked.join(offsets, cond, "left").select(*[ranked[c] for c in df.columns], (ranked[name] + offsets[off]).cast("long").alias(name))

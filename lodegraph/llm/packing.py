@@ -15,6 +15,7 @@ Null and empty texts are the end id alone: pieces of length 1. Ids need not be u
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -47,6 +48,13 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = regex.compile(_PIECES).findall
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        # the same merges without normalizer and splitting, for pretokens whose bytes are mapped here
+        self.merger = Tokenizer.from_str(json.dumps(plain | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.mapped = {b: chr(256 + k) for k, b in enumerate(hidden) if b != 32}  # a space parts pretokens
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -55,22 +63,31 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Remembers the ids of whitespace-free strings. No token spans white space, so thousands are encoded as one text
-        and told apart by their counts of word-end tokens."""
-        new = sorted(words - self.keys())
+        """Remembers the ids of whitespace-free strings. Those of several pretokens are put together from them; thousands of
+        new pretokens are encoded as one text and told apart by their word-end tokens, of which each has one, its last."""
+        new = words - self.keys()
         if len(self) + len(new) > 1_000_000:
             self.clear()
-            new = sorted(words)
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([len(self.split(w)) for w in some])
-            if len(ends) != upto[-1]:
-                self.update((w, self.whole(w)) for w in some)
-                continue
-            at = np.r_[0, ends[upto - 1]].tolist()
-            self.update((w, ids[i:j].tobytes()) for w, i, j in zip(some, at, at[1:], strict=False))
+            new = words
+        fresh, several = set(), []
+        for w in new:
+            if w.isalpha() or len(parts := self.split(w)) == 1 and parts[0] == w:
+                fresh.add(w)
+            else:
+                several.append((w, parts))
+                fresh.update(p for p in parts if p not in self)
+        groups = [g[k : k + 1000] for g in ([w for w in fresh if w.isascii()], [w for w in fresh if not w.isascii()]) for k in range(0, len(g), 1000)]
+        joined = [" ".join(g) for g in groups]
+        shown = [t if t.isascii() else t.encode().decode("latin-1").translate(self.mapped) for t in joined]
+        for group, e in zip(groups, self.merger.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            if len(at) == len(group) + 1:
+                self.update((w, raw[i:j]) for w, i, j in zip(group, at, at[1:], strict=False))
+            else:
+                self.update((w, self.whole(w)) for w in group)
+        self.update((w, b"".join(map(self.__getitem__, parts))) for w, parts in several)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = [None if not t or _PLAIN.search(t) or "<|" in t else t.lower().split() for t in texts]
@@ -232,7 +249,7 @@ def packed(found: DataFrame, *, size: int = SIZE) -> DataFrame:
     for r in found.groupBy("length").count().collect():  # at most `size` rows
         counts[r["length"]] = r["count"]
     at = spark.sparkContext.broadcast(_table(packing_plan(counts, size)))
-    ranked = numbered(found, ["length"], ["doc_id", "piece", "ids_crc32"], "_number")
+    ranked = numbered(found, ["length"], ["doc_id", "piece", "ids_crc32"], "_number", least=16)
     names = [*found.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
