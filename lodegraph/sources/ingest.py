@@ -130,7 +130,7 @@ def _walk(tree: ast.AST, path: str) -> tuple[list[tuple], list[tuple]]:
             elif isinstance(x, ast.Call):
                 refs.append((path, outer, ast.unparse(x.func).split(".")[-1], "call", x.lineno))
             elif isinstance(x, ast.Import | ast.ImportFrom):
-                refs += [(path, outer, a.name, "import", x.lineno) for a in x.names]
+                refs.extend((path, outer, a.name, "import", x.lineno) for a in x.names)
             visit(x, name)
 
     visit(tree, "")

@@ -82,7 +82,7 @@ def test_resolve_prefers_qualified_then_references(spark):
 
 def test_text(spark):
     d = spark.createDataFrame([(1, "HTTPServer runs parseURL quickly"), (2, None), (3, "servers running")], "doc long, text string")
-    assert rows(T.tokens(d, "doc", "text"), "t") == {("http",), ("serv",), ("run",), ("parse",), ("url",), ("quick",), ("runn",)} | ({("runs",)} & rows(T.tokens(d, "doc", "text"), "t"))
+    assert rows(T.tokens(d, "doc", "text"), "t") == {("http",), ("serv",), ("run",), ("parse",), ("url",), ("quick",), ("server",), ("runn",)}
     u = spark.createDataFrame([("https://A.b/En/12.html?x#y",), ("/en/7/",)], "u string").select(T.url_template(F.col("u")))
     assert [r[0] for r in u.collect()] == ["/en/{}", "/en/{}"]
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lodegraph.sources import ingest, sinks
 from lodegraph.streaming import events as E
 
@@ -29,7 +31,7 @@ def _read(spark, tmp_path, data):
 def test_traces(spark, tmp_path):
     span = lambda n, a, b, c: {"name": n, "startTimeUnixNano": a, "endTimeUnixNano": b, "status": {"code": c}}
     d = _read(spark, tmp_path, {"resourceSpans": [{"scopeSpans": [{"spans": [span("f", "0", "1000000", 0), span("f", "0", "3000000", 2)]}]}]})
-    assert tuple(ingest.otel(d).first()) == ("f", 2, 2.0, 2.98, 0.5)
+    assert tuple(ingest.otel(d).first()) == ("f", 2, 2.0, pytest.approx(2.98), 0.5)
     assert ingest.sniff_trace(d.columns) == "otel"
     d = _read(spark, tmp_path, [{"traceId": "1", "name": "g", "duration": 4000, "tags": {"error": "x"}}])
     assert tuple(ingest.zipkin(d).first()) == ("g", 1, 4.0, 4.0, 1.0)
