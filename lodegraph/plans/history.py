@@ -107,6 +107,13 @@ def fn_coupling(spark: SparkSession, d: str) -> DataFrame:
     return H.fn_coupling(t.changes.withColumn("file_id", F.expr("file_id div 10")), t.symbols, t.graph, least=4).filter("(a + b) % 97 = 0")
 
 
+@query("fn_coupling_all")
+def fn_coupling_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs from the operator's own count of 3; `fn_coupling` is the slice that its SQL checks."""
+    t = Tables(spark, d)
+    return H.fn_coupling(t.changes.withColumn("file_id", F.expr("file_id div 10")), t.symbols, t.graph)
+
+
 @query(
     "bus_factor",
     oracle(

@@ -95,3 +95,16 @@ def test_names_and_globs(spark):
 
     assert re.match(glob_regex("src/**/x_*.py"), "src/a/b/x_1.py") and re.match(glob_regex("src/**/x_*.py"), "src/x_1.py")
     assert not re.match(glob_regex("src/*.py"), "src/a/b.py")
+
+
+def test_fn_coupling_all_keeps_every_pair(spark, tmp_path):
+    from lodegraph.plans import catalog, registry
+
+    assert catalog
+    part = [(k, "a b", 4, "T", "B") for k in range(10, 50)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_size int, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    touched = {1: (10, 20), 2: (11, 21), 3: (12, 22), 4: (30, 40), 5: (31, 41)}  # files 1 and 2 three times, 3 and 4 twice
+    li = [(c, f, 1.0, 0.0, "R" if c == 1 else "N", 0.01, f"2020-01-{f}" if f < 32 else "2020-01-31", "O") for c, fs in touched.items() for f in fs]
+    spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_quantity double, l_tax double, l_returnflag string, l_discount double, l_shipdate string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in registry.QUERIES["fn_coupling_all"](spark, str(tmp_path)).select("a", "b", "cochange_count").collect()}
+    assert got == {(a, b, 3) for a in range(10, 20) for b in range(20, 30)} - {(10, 20, 3)}
