@@ -87,6 +87,6 @@ put("edge_betweenness", None)(lambda s, d: G.betweenness(Tables(s, d).symbols, T
 put("louvain", None)(lambda s, d: G.louvain(Tables(s, d).symbols, Tables(s, d).graph))
 put("k_paths", None)(lambda s, d: (lambda t: (lambda e: G.paths(t.edges, int(e["src"]), int(e["dst"])))(t.edges.orderBy("src", "dst").first()))(Tables(s, d)))
 put("min_cut", None)(lambda s, d: G.min_cuts(Tables(s, d).graph, Tables(s, d).labels))
-put("fiedler", None)(lambda s, d: s.createDataFrame([(G.fiedler(Tables(s, d).file_edges.filter("src < 60 AND dst < 60")),)], "connectivity double"))
+put("fiedler", None)(lambda s, d: s.createDataFrame([(G.fiedler(Tables(s, d).file_edges),)], "connectivity double"))
 rec("distance_matrix", _bfs("SELECT id FROM symbols WHERE id % 30 = 2", most=8) + " SELECT root AS a, node AS b, dist FROM bf WHERE node % 30 = 2 AND dist > 0")(lambda s, d: G.distance_matrix(Tables(s, d).graph, Tables(s, d).symbols.filter("id % 30 = 2").select("id")))
 put("shared_callees", " SELECT dst AS id, count(DISTINCT src) AS callers FROM graph WHERE src % 3 = 0 GROUP BY 1 HAVING count(DISTINCT src) >= 2")(lambda s, d: Tables(s, d).graph.filter("src % 3 = 0").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers")).filter("callers >= 2"))

@@ -101,3 +101,12 @@ def test_empty_graph(spark):
     assert rows(G.layers(v, e), "id", "layer") == {(1, 0), (2, 0)}
     assert G.fiedler(e) == 0.0
     assert G.closure(e).count() == 0
+
+
+def test_fiedler_in_spark_equals_the_dense_laplacian(spark):
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(29)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(25)] + [(90, 91), (91, 92)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    assert G.fiedler(e, limit=3) == pytest.approx(G.fiedler(e), abs=1e-6) and G.fiedler(e) > 0
+    star = spark.createDataFrame([(0, k) for k in range(1, 9)], "src long, dst long")
+    assert G.fiedler(star, limit=3) == pytest.approx(1.0, abs=1e-6)
