@@ -1,7 +1,8 @@
 """HTML main-text extraction by consensus host paths.
 
 1. Every page's containers are scored by the paragraph text they hold directly (half for grandparents, links don't count), and
-   the page votes for the generalised tag-class paths of its best containers (digits dropped, classes sorted).
+   the page votes for the generalised tag-class paths of its best containers (digits dropped, classes sorted). Containers in an
+   article or main element count for the outermost of these: what lies beside them in it is main text too.
 2. Votes are summed by (host, path) in Spark and the path with most votes wins its host.
 3. Every page is parsed again and its text taken from the containers on its host's path; a page without that path, or with no
    text there, uses its own best container, else its body. Boilerplate inside (menus, headers and footers of the page,
@@ -171,13 +172,24 @@ def _shares(nodes: list[Node], texts: list[tuple[int, str, bool]]) -> dict[int,
     return score
 
 
+def _lifted(nodes: list[Node], k: int) -> int:
+    """The outermost article or main element that holds the container, else the container itself."""
+    out = k
+    while k > 0:
+        if nodes[k].tag in ("article", "main") and not nodes[k].dropped:
+            out = k
+        k = nodes[k].parent
+    return out
+
+
 def votes(page: str, most: int = 3) -> list[tuple[str, int]]:
     """(path, votes) of the page's best containers: 1000 votes a page, by score."""
     nodes, texts = parse(page)
     score = _shares(nodes, texts)
     by: dict[str, float] = {}
     for k, s in score.items():
-        by[nodes[k].path] = by.get(nodes[k].path, 0) + s
+        path = nodes[_lifted(nodes, k)].path
+        by[path] = by.get(path, 0) + s
     top = sorted(by.items(), key=lambda x: (-x[1], x[0]))[:most]
     total = sum(s for _, s in top)
     return [(p, int(1000 * s / total)) for p, s in top if total]
@@ -201,7 +213,7 @@ def main_text(page: str | None, path: str | None = None) -> str:
             return text
     score = _shares(nodes, texts)
     if score:
-        best = max(score, key=lambda k: (score[k], -k))
+        best = _lifted(nodes, max(score, key=lambda k: (score[k], -k)))
         if text := _taken(nodes, texts, {best}):
             return text
     return _taken(nodes, texts, {0})

@@ -116,3 +116,12 @@ def test_warc_round_trip():
     assert W.member(b"x") == W.member(b"x") and zlib.decompress(W.member(b"x"), 31) == b"x"
     with pytest.raises(EOFError):
         list(W.records(io.BytesIO(data[:-30])))
+
+
+def test_main_text_keeps_the_whole_article():
+    lead, long = "<h1>T</h1><div class='lead'><p>A lead.</p></div>", "Much longer text of the post. " * 5
+    tail = f"<div class='post-content'><p>{long}</p></div><div class='related'><p>Others</p></div>"
+    want = f"T A lead. {long.strip()}"
+    for page in (f"<article>{lead}{tail}</article>", f"<main>{lead}<article>{tail}</article></main>"):
+        page = f"<html><body><nav>Menu</nav>{page}<footer>End</footer></body></html>"
+        assert H.main_text(page) == H.main_text(page, H.votes(page)[0][0]) == want
