@@ -3,9 +3,12 @@
 Text is lower-cased, everything but letters and digits becomes a space, and a unit is the set of its adjacent word pairs (a
 single word is a pair with nothing). Two sets of a and b pairs can reach a coefficient t only if b lies between a t / (2 - t)
 and a (2 - t) / t, so templates are kept by size and a unit is compared only with those in its bounds. Units are single lines,
-runs of neighbouring lines that each share a pair with some template (licences broken over lines), and the whole text.
+runs of neighbouring lines that each share a pair with some template (licences broken over lines), the whole text, and windows
+of words: of all stretches of adjacent words, those that match a template best. A window that reaches t holds t / (2 - t) of the
+template's pairs at least, so only templates with as many in the text are searched, and only from pair to pair of the template.
+Of windows that overlap the best one counts, and none that overlaps a line, run or text that matches as well.
 
-Every line of every whole text is looked at. The result has one row per document: the best match (greatest coefficient, then
+Every window of every whole text is looked at. The result has one row per document: the best match (greatest coefficient, then
 larger template, then name) and how many units match; without a match the licence is null and the score 0. Null and empty texts
 match nothing. Repeated rows and ids are judged each. A projection in Arrow batches: no shuffle, no state.
 """
@@ -98,6 +101,10 @@ class Scanner:
         self.least = min(self.sizes) * threshold / (2 - threshold)
         self.most = max(self.sizes) * (2 - threshold) / threshold
         self.known = frozenset().union(*(p for _, _, p in kept)) if kept else frozenset()
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for k, (_, _, p) in enumerate(kept):
+            for pair in p:
+                self.holders.setdefault(pair, []).append(k)
 
     def best(self, unit: Pairs, first: int, last: int) -> Match | None:
         n = len(unit)
@@ -142,6 +149,62 @@ class Scanner:
         return out
 
 
+    def _windows(self, seq: list[tuple[str, str]], k: int) -> Iterator[tuple[float, int, int]]:
+        """(score, first pair, last pair): for each pair of template k, the best of the windows that begin with it. A window in
+        which its first pair comes again has the same set without it, so it ends before; so does one that outgrows the bounds."""
+        size, _, p = self.kept[k]
+        t = self.threshold
+        most = size * (2 - t) / t + 1e-9
+        for i, head in enumerate(seq):
+            if head not in p:
+                continue
+            seen, hits, top = set(), 0, (0.0, 0, 0)
+            for j in range(i, len(seq)):
+                pair = seq[j]
+                if pair == head and j > i:
+                    break
+                if pair in seen:
+                    continue
+                seen.add(pair)
+                if len(seen) > most:
+                    break
+                if pair in p:
+                    hits += 1
+                    top = max(top, (2 * hits / (len(seen) + size), i, j), key=lambda x: x[0])
+            if top[0] >= t:
+                yield top
+
+    def windows(self, text: str | None) -> list[Match]:
+        """The best windows of words, none overlapping another."""
+        words, at = [], []
+        for k, line in enumerate((text or "").split("\n")):
+            new = normalised(line)
+            words += new
+            at += [k] * len(new)
+        seq = list(zip(words, words[1:], strict=False))
+        found = []
+        for wide, chain in ((1, seq), (0, [(w, "") for w in words])):
+            there = Counter(k for pair in set(chain) & self.known for k in self.holders[pair])
+            for k, n in there.items():
+                size, name, _ = self.kept[k]
+                if n >= size * self.threshold / (2 - self.threshold) - 1e-9:
+                    found += [(-s, -size, name, i, j + wide) for s, i, j in self._windows(chain, k)]
+        out, taken = [], []
+        for s, size, name, i, j in sorted(found):
+            spot = bisect_left(taken, (i, -1))
+            if (spot and taken[spot - 1][1] >= i) or (spot < len(taken) and taken[spot][0] <= j):
+                continue
+            taken.insert(spot, (i, j))
+            out.append(Match(-s, -size, name, at[i], at[j]))
+        return out
+
+    def everything(self, text: str | None) -> list[Match]:
+        """matches(), and the windows that say more than these."""
+        units = self.matches(text)
+        rank = lambda m: (-m.score, -m.size, m.licence)
+        return units + [w for w in self.windows(text) if not any(u.first <= w.last and w.first <= u.last and rank(u) <= rank(w) for u in units)]
+
+
 def scanned(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, score, first_line, last_line, n_matches, licenses) of every row; lines from 0; licenses: the distinct
     names, sorted and joined by commas."""
@@ -151,7 +214,7 @@ def scanned(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None,
         for b in batches:
             out = []
             for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                found = scanner.matches(t)
+                found = scanner.everything(t)
                 if found:
                     top = min(found, key=lambda m: (-m.score, -m.size, m.licence, m.first))
                     out.append((i, top.licence, top.score, top.first, top.last, len(found), ",".join(sorted(Counter(m.licence for m in found)))))
