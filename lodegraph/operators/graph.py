@@ -11,20 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, discard, staged
 
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """(root, node, dist, via, parent) for seeds (root, node): shortest distances, the first-hop node and the parent, both the
-    smallest ids among shortest paths. Seeds have dist 0 and no via or parent."""
+    smallest ids among shortest paths. Seeds have dist 0 and no via or parent. `hops` bounds the distance; None: no bound."""
     frontier = cut(seeds.select("root", "node").distinct().select("root", "node", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("parent")))
     found, step = frontier, 0
     e = cut(edges.select("src", "dst").distinct())
-    while step < hops:
+    while hops is None or step < hops:
         step += 1
         nxt = frontier.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.coalesce("via", "dst").alias("via"), F.col("node").alias("parent"))
         nxt = nxt.groupBy("root", "node").agg(F.min("via").alias("via"), F.min("parent").alias("parent")).join(found.select("root", "node"), ["root", "node"], "left_anti")
@@ -32,10 +32,11 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        found = cut(found) if step % 16 == 0 else found
     return found
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """(node, dist): distance from the nearest of the seeds (node)."""
     return bfs(edges, seeds.select(F.lit(0).cast("long").alias("root"), "node"), hops).select("node", "dist")
 
@@ -54,35 +55,96 @@ def closure(edges: DataFrame) -> DataFrame:
         known = cut(known.unionByName(delta))
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): undirected components named by their smallest id; min labels with pointer jumping."""
-    both = cut(edges.unionByName(reverse(edges)).distinct())
-    labels = cut(vertices.select("id", F.col("id").alias("component")))
+def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, root) of every node of `links`: connected components by repeated contraction. Each round every node takes the
+    neighbour of smallest hash (or itself); only links between different roots go to the next round, so edges vanish and
+    rounds are logarithmic. A root is one of its component's nodes. Null ends link nothing."""
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("v"))
+    edges = staged(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")).distinct(), "edges")
+    labels = None
     while True:
-        low = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("low"))
-        new = labels.join(low, F.col("id") == F.col("src"), "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"), F.col("component").alias("old"))
-        jump = new.select(F.col("id").alias("at"), F.col("component").alias("up"))
-        new = cut(new.join(jump, F.col("component") == F.col("at"), "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        labels = new.select("id", "component")
-        if new.filter("component <> old").isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).select("a", F.least(rank(F.col("a")), F.col("low"))["v"].alias("up"))
+        up = staged(up, "up")
+        old = labels
+        if labels is None:
+            labels = up.select(F.col("a").alias("id"), F.col("up").alias("root"))
+        else:
+            labels = staged(labels.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("up", "root").alias("root")), "labels")
+        one, two = up.select(F.col("a").alias("x"), F.col("up").alias("ua")), up.select(F.col("a").alias("y"), F.col("up").alias("ub"))
+        left = edges.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")).select(F.col("ua").alias("a"), F.col("ub").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+        left = staged(left, "edges")
+        discard(edges, old)
+        edges = left
+        if edges.isEmpty():
+            discard(edges)
             return labels
 
 
-def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, scc): strongly connected components named by their largest id. Sources and sinks are trimmed, the largest id that
-    reaches a node colours it, and what reaches a colour's root backwards inside the colour is its component; repeat."""
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): undirected components named by their smallest id, by contraction; a vertex without edges is its own."""
+    roots = contracted(edges, "src", "dst")
+    names = roots.groupBy("root").agg(F.min("id").alias("component"))
+    named = roots.join(names, "root").select(F.col("id").alias("k"), "component")
+    return vertices.select("id").join(named, F.col("id") == F.col("k"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+#: Edges that one task may hold (two numbers each, 16 MB); larger graphs take the distributed way.
+IN_ONE_TASK = 1_000_000
+
+
+def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
+    """(id, scc) of every node of a graph that fits one task; iterative, so depth doesn't matter."""
+    ids, ends = np.unique(edges[["src", "dst"]].to_numpy(), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    start = np.searchsorted(ends[:, 0], np.arange(len(ids) + 1)).tolist()
+    to, n = ends[:, 1].tolist(), len(ids)
+    index, low, on, at, stack, label, count = [-1] * n, [0] * n, [False] * n, start[:-1], [], [0] * n, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            if at[v] < start[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if index[w] < 0:
+                    path.append(w)
+                elif on[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == index[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(stack.pop())
+                name = max(members)
+                for w in members:
+                    on[w], label[w] = False, name
+    return pd.DataFrame({"id": ids, "scc": ids[label]})
+
+
+def scc(vertices: DataFrame, edges: DataFrame, in_one: int = IN_ONE_TASK) -> DataFrame:
+    """(id, scc): strongly connected components named by their largest id. Sources and sinks are trimmed; a rest of at most
+    `in_one` edges is solved in one task. Of a larger one, the largest id that reaches a node colours it, and what reaches a
+    colour's root backwards inside the colour is its component; repeat on what is left."""
     left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    done = None
-    while True:
-        while True:
-            inner = left.select(F.col("src").alias("k")).intersect(left.select(F.col("dst").alias("k")))
-            kept = cut(left.join(inner.select(F.col("k").alias("src")), "src", "left_semi").join(inner.select(F.col("k").alias("dst")), "dst", "left_semi").select("src", "dst"))
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
+    done, size = None, left.count()
+    while size > in_one:
+        inner = left.select(F.col("src").alias("k")).intersect(left.select(F.col("dst").alias("k")))
+        kept = cut(left.join(inner.select(F.col("k").alias("src")), "src", "left_semi").join(inner.select(F.col("k").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        left, before, size = kept, size, kept.count()
+        if size < before or size <= in_one:
+            continue
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         colour = cut(nodes.select("id", F.col("id").alias("c")))
         while True:
@@ -95,10 +157,13 @@ def scc(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         inside = cut(left.join(a, "src").join(b, "dst").filter("cs = cd").select("src", "dst"))
         roots = colour.filter("id = c")
         back = bfs(reverse(inside), roots.select(F.col("id").alias("root"), F.col("id").alias("node"))).select(F.col("node").alias("id"), F.col("root").alias("scc"))
-        done = back if done is None else done.unionByName(back)
-        done = cut(done)
+        done = cut(back if done is None else done.unionByName(back))
         gone = done.select(F.col("id").alias("src"))
         left = cut(left.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        size = left.count()
+    if size:
+        rest = left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_tarjan, "id long, scc long")
+        done = rest if done is None else done.unionByName(rest)
     if done is None:
         return vertices.select("id", F.col("id").alias("scc"))
     return vertices.select("id").join(done, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))

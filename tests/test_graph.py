@@ -110,3 +110,19 @@ def test_fiedler_in_spark_equals_the_dense_laplacian(spark):
     assert G.fiedler(e, limit=3) == pytest.approx(G.fiedler(e), abs=1e-6) and G.fiedler(e) > 0
     star = spark.createDataFrame([(0, k) for k in range(1, 9)], "src long, dst long")
     assert G.fiedler(star, limit=3) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_scc_of_long_rings(spark):
+    """One ring of 1,500 nodes, and the distributed way on a shorter ring with a tail."""
+    ring = lambda n, at=0: [(at + k, at + (k + 1) % n) for k in range(n)]
+    v = spark.range(1500).select("id")
+    assert rows(G.scc(v, spark.createDataFrame(ring(1500), "src long, dst long")), "scc") == {(1499,)}
+    e = spark.createDataFrame(ring(9) + ring(4, 20) + [(3, 20), (21, 30)], "src long, dst long")
+    got = dict(rows(G.scc(spark.createDataFrame([(k,) for k in [*range(9), *range(20, 24), 30]], "id long"), e, in_one=0), "id", "scc"))
+    assert got == {**{k: 8 for k in range(9)}, **{k: 23 for k in range(20, 24)}, 30: 30}
+
+
+def test_components_of_a_path(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "src long, dst long")
+    got = dict(rows(G.components(spark.createDataFrame([(k,) for k in [*range(41), 100, 101, 200]], "id long"), e), "id", "component"))
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 200}
