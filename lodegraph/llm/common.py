@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import discard, drop_path, new_path, shared_dir, staged, work_dir
+
 #: Characters between words; a word is a longest run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
-_BASES: dict[str, str] = {}
+
+
+__all__ = ["SPACES", "discard", "drop_path", "free_name", "kept_where", "new_path", "numbered", "shared_dir", "staged", "table", "text_crc32", "word_count", "words", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,46 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`, which driver and executors share; a local one of our own only where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().conf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = _BASES.setdefault("unset", tempfile.mkdtemp(prefix="lodegraph-"))
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is then the cluster's to clean
-        pass
-
-
-def work_dir(spark: SparkSession) -> str:
-    """This application's own folder below the shared one; removed when the process ends."""
-    key = spark.sparkContext.applicationId
-    if key not in _BASES:
-        _BASES[key] = f"{shared_dir(spark)}/lodegraph-{key}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_drop, spark, _BASES[key])
-    return _BASES[key]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors,
-    and gives the planner true sizes to choose joins by."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, with underscores added until no column of `df` is called that (case ignored)."""
     have = {c.lower() for c in df.columns}

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,9 +208,7 @@ def _brute(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("window", [16, 2])
-def test_near_duplicates(docs, empty, monkeypatch, window):
-    monkeypatch.setattr(near_dedup, "WINDOW", window)
+def test_near_duplicates(docs, empty):
     got = near_dedup.near_duplicates(docs, width=4).collect()
     assert len(got) == len(DOCS)
     want = _brute(DOCS, 4, 80)
@@ -229,12 +228,6 @@ def test_near_duplicates_without_ids(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(d).collect()} == {(None, None), (1, 1), (2, 1)}
 
 
-def test_components_of_a_path(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
-    roots = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
-    assert len({roots[k] for k in range(41)}) == 1 and roots[100] == roots[101] != roots[0]
-
-
 def test_packing(docs, empty):
     found = packing.pieces(docs, size=64, keep_ids=True)
     rows = packing.packed(found, size=64).collect()
@@ -307,3 +300,49 @@ def test_neighbours(spark):
         assert [i for _, i, _ in mine] == [i for _, i in want] and [s for *_, s in mine] == pytest.approx([-s for s, _ in want])
     assert set(got) == {i for i in good if i % 20 == 0}
     assert neighbours.nearest(d.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id has the links of each of its texts, and joins them."""
+    rng = random.Random(11)
+    a, b = ([f"{p}{rng.randrange(9999)}" for _ in range(60)] for p in "ab")
+    text = lambda w, more="": " ".join(w) + more
+    find = lambda rows: {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert find([(5, text(a)), (5, text(b)), (11, text(a, " x")), (12, text(b, " y"))]) == {(5, 5), (11, 5), (12, 5)}
+    assert find([(5, text(a)), (7, text(a)), (7, text(b)), (9, text(b)), (7, None)]) == {(5, 5), (7, 5), (9, 5)}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-3000])), (3, " ".join(w[:30_000])), (4, "long " * 200_000)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("spread", [64, 3])
+def test_template_groups_close_in_blocks(spark, monkeypatch, spread):
+    """Copies of one template, some linked only in chains, some not at all; hot keys split and blocks of few rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(13)
+    base = [f"t{k}" for k in range(150)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.choice([2, 4, 6, 8, 10])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), None, None, 0))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    keys = near_dedup._keys
+    monkeypatch.setattr(near_dedup, "SPREAD", spread)
+    seen = pd.concat(list(near_dedup._described(4)(iter([pd.DataFrame([r[:2] for r in rows])]))))
+    split = pd.concat(list(keys(iter([seen.assign(cls=seen["id"])]))))
+    assert len(split) == 70 * 96 and (spread == 64 or split["origin"].notna().any())
+    monkeypatch.setattr(near_dedup, "_keys", lambda b: _spread_keys(b, spread, keys))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(d, width=4).collect()}
+    assert got == _brute(rows, 4, 80)
+
+
+def _spread_keys(batches, spread, keys):
+    near_dedup.SPREAD = spread  # in the worker's own copy of the module
+    yield from keys(batches)
