@@ -63,7 +63,7 @@ def test_search_is_exact_with_an_open_test():
     x[5] = x[6]
     norm2 = (x * x).sum(1).max() * (1 + 1e-12)
     q, ids = x[:20], np.arange(700)
-    got = A.search(x, A._projected(x, norm2), ids, q, A._projected_query(q), norm2, 10, np.full(20, np.inf), 1e9)
+    got, _ = A.search(x, A._projected(x, norm2), ids, q, A._projected_query(q), norm2, 10, np.full(20, -np.inf), 1e9)
     for i, (rows, score) in enumerate(got):
         s = (x * q[i]).sum(1)
         assert list(rows) == list(np.lexsort((ids, -s))[:10]) and np.array_equal(score, s[rows])
