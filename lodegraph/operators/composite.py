@@ -11,19 +11,25 @@ from . import graph as G
 from . import scores as S
 
 
-def snapshot(vertices: DataFrame, edges: DataFrame, file_health: DataFrame, god: int = 20) -> DataFrame:
-    """One row of health metrics: tangle, gods, bottlenecks, violations, mean file health, score."""
+def snapshot(vertices: DataFrame, edges: DataFrame, file_health: DataFrame, god: int = 20, *, betweenness: DataFrame | None = None, layer: DataFrame | None = None, utility: DataFrame | None = None) -> DataFrame:
+    """One row of health metrics: tangle, gods, necks (bottlenecks), violations, files (mean file health), score. `betweenness`
+    (id, betweenness) and `layer` (id, layer) are made from the graph where not given; violations are edges to lower layers.
+    Symbols in `utility` (id) are critical gods at three times the degree, critical bottlenecks at 1.5 times the percentile."""
     vertices, edges = cut(vertices.select("id")), cut(edges.select("src", "dst"))
-    labels = G.scc(vertices, edges)
+    labels = cut(G.scc(vertices, edges))
     tangle = labels.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).agg((100.0 * F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("tangle"))
-    deg = edges.select("src", "dst").distinct().select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")).orderBy(F.desc("d"), "id").limit(50)
-    gods = deg.agg((3 * F.count_if(F.col("d") > 50) + 0.5 * F.count_if(F.col("d") > god)).cast("double").alias("gods"))
-    b = G.betweenness(vertices, edges).filter("betweenness > 0")
-    cut = b.agg(F.percentile("betweenness", F.lit(0.9)).alias("p90"), F.percentile("betweenness", F.lit(0.7)).alias("p70"))
-    necks = b.filter("betweenness > 0.5").orderBy(F.desc("betweenness"), "id").limit(15).crossJoin(F.broadcast(cut)).agg((2 * F.count_if(F.col("betweenness") > F.col("p90")) + 0.3 * F.count_if(F.col("betweenness") > F.col("p70"))).cast("double").alias("necks"))
+    slack = (utility if utility is not None else vertices.limit(0)).select("id").distinct().withColumn("slack", F.lit(1))
+    lax = lambda x: F.when(F.col("slack").isNotNull(), x).otherwise(1.0)
+    deg = edges.select("src", "dst").distinct().select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > god).orderBy(F.desc("d"), "id").limit(50)
+    gods = deg.join(slack, "id", "left").agg((3 * F.count_if(F.col("d") > 50 * lax(3.0)) + 0.5 * F.count(F.lit(1))).cast("double").alias("gods"))
+    b = (betweenness if betweenness is not None else G.betweenness(vertices, edges)).filter("betweenness > 0")
+    p90 = b.agg(F.percentile("betweenness", F.lit(0.9)).alias("p90"))
+    top = b.filter("betweenness > 0.5").orderBy(F.desc("betweenness"), "id").limit(15).join(slack, "id", "left").crossJoin(F.broadcast(p90))  # one row
+    necks = top.agg((2 * F.count_if(F.col("betweenness") > F.col("p90") * lax(1.5)) + 0.3 * F.count(F.lit(1))).cast("double").alias("necks"))
+    below = G.violations(edges, layer if layer is not None else G.layers(vertices, edges, labels)).agg(F.count(F.lit(1)).cast("double").alias("violations"))
     mean = file_health.agg(F.avg("health").alias("files"))
-    d = tangle.crossJoin(gods).crossJoin(necks).crossJoin(mean)  # one row each
-    return d.withColumn("violations", F.lit(0.0)).withColumn("score", S.health(F.col("tangle"), F.col("gods"), F.col("necks"), F.col("violations"), F.col("files")))
+    d = tangle.crossJoin(gods).crossJoin(necks).crossJoin(below).crossJoin(mean)  # one row each
+    return d.withColumn("score", S.health(F.col("tangle"), F.col("gods"), F.col("necks"), F.col("violations"), F.col("files")))
 
 
 def fingerprint(vertices: DataFrame, edges: DataFrame) -> DataFrame:

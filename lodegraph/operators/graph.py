@@ -81,6 +81,17 @@ def contracted(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def blast_radius(vertices: DataFrame, edges: DataFrame, file: Column) -> DataFrame:
+    """(root, dependents, files, verdict) of every node that others reach: how many nodes reach it in any number of steps, the
+    files (an expression of src) that they lie in, and a verdict by their number and share."""
+    reached = closure(edges).filter("src <> dst")
+    n = vertices.agg(F.count(F.lit(1)).alias("n"))
+    d = reached.groupBy(F.col("dst").alias("root")).agg(F.count(F.lit(1)).alias("dependents"), F.count_distinct(file).alias("files")).crossJoin(F.broadcast(n))  # one row
+    share = F.col("dependents") / F.col("n")
+    verdict = F.when((share >= 0.10) | (F.col("dependents") >= 50), "high").when((share >= 0.02) | (F.col("dependents") >= 10), "medium").otherwise("low")
+    return d.select("root", "dependents", "files", verdict.alias("verdict"))
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): undirected components named by their smallest id, by contraction; a vertex without edges is its own."""
     roots = contracted(edges, "src", "dst")
@@ -309,31 +320,55 @@ def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return d.groupBy("cluster").agg(F.sum("i").alias("intra"), F.count(F.lit(1)).alias("total")).withColumn("share", F.col("intra") / F.col("total"))
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, *, rounds: int = 12) -> DataFrame:
-    """(id, cluster): communities by synchronous modularity moves. A vertex moves to the neighbour cluster of greatest gain;
-    in each round only vertices of one hash parity move and ties go to the smaller label, which keeps it deterministic and
-    from oscillating. The modularity never is below that of single vertices' start by construction of positive gains."""
-    u = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(u.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    m2 = float(max(1, both.count()))
-    deg = cut(both.groupBy("x").agg(F.count(F.lit(1)).alias("k")))
-    lab = cut(vertices.select("id", F.col("id").alias("c")))
-    for r in range(rounds):
-        vol = lab.join(deg, F.col("id") == F.col("x"), "left").groupBy("c").agg(F.sum(F.coalesce("k", F.lit(0))).alias("vol"))
-        near = both.join(lab.select(F.col("id").alias("y"), F.col("c").alias("cy")), "y").groupBy("x", "cy").agg(F.count(F.lit(1)).alias("w"))
-        near = near.join(lab.select(F.col("id").alias("x"), F.col("c").alias("cx")), "x").join(deg, "x").join(vol.select(F.col("c").alias("cy"), "vol"), "cy")
-        own = F.when(F.col("cy") == F.col("cx"), F.col("k")).otherwise(0)
-        near = near.withColumn("gain", F.col("w") - F.col("k") * (F.col("vol") - own) / m2)
-        stay = F.max(F.when(F.col("cy") == F.col("cx"), F.col("gain"))).over(Window.partitionBy("x"))
-        volx = vol.select(F.col("c").alias("cx"), F.col("vol").alias("volx"))
-        near = near.withColumn("stay", stay).join(volx, "cx").withColumn("stay", F.coalesce("stay", -F.col("k") * (F.col("volx") - F.col("k")) / m2))
-        best = near.groupBy("x").agg(F.max(F.struct("gain", (-F.col("cy")).alias("c"))).alias("t"), F.first("stay").alias("stay"))
-        moves = best.filter((F.col("t.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("x", F.lit(r // 2)), F.lit(2)) == r % 2)).select("x", (-F.col("t.c")).alias("to"))
+def _moves(near: DataFrame, deg: DataFrame, m2: float) -> DataFrame:
+    """(id, c): labels after local moves on the weighted graph (x, y, w; both directions, loops kept out; deg: x, k with loops).
+    A vertex moves to the neighbour cluster of greatest gain; in each round only vertices of one hash parity move and ties go
+    to the smaller label. Ends when neither parity moves, or when no round raised modularity further."""
+    lab = cut(deg.select(F.col("x").alias("id"), F.col("x").alias("c")))
+    best_q, best, r, idle, worse = None, lab, 0, 0, 0
+    while idle < 2 and worse < 4:
+        vol = lab.join(deg, F.col("id") == F.col("x")).groupBy("c").agg(F.sum("k").alias("vol"))
+        by = near.join(lab.select(F.col("id").alias("y"), F.col("c").alias("cy")), "y").groupBy("x", "cy").agg(F.sum("w").alias("w"))
+        by = by.join(lab.select(F.col("id").alias("x"), F.col("c").alias("cx")), "x").join(deg, "x").join(vol.select(F.col("c").alias("cy"), "vol"), "cy").join(vol.select(F.col("c").alias("cx"), F.col("vol").alias("volx")), "cx")
+        same = F.col("cy") == F.col("cx")
+        by = by.withColumn("gain", F.col("w") - F.col("k") * (F.col("vol") - F.when(same, F.col("k")).otherwise(0)) / m2)
+        top = by.groupBy("x").agg(F.max(F.struct("gain", (-F.col("cy")).alias("c"))).alias("t"), F.coalesce(F.max(F.when(same, F.col("gain"))), F.max(-F.col("k") * (F.col("volx") - F.col("k")) / m2)).alias("stay"))
+        moves = top.filter((F.col("t.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("x", F.lit(r // 2)), F.lit(2)) == r % 2)).select("x", (-F.col("t.c")).alias("to"))
         new = cut(lab.join(moves, F.col("id") == F.col("x"), "left").select("id", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-        lab = new.select("id", "c")
-        if r % 2 and new.filter("moved").isEmpty():
+        lab, r = new.select("id", "c"), r + 1
+        idle = idle + 1 if new.filter("moved").isEmpty() else 0
+        if idle == 0:
+            a, b = lab.select(F.col("id").alias("x"), F.col("c").alias("cx")), lab.select(F.col("id").alias("y"), F.col("c").alias("cy"))
+            inner = near.join(a, "x").join(b, "y").filter("cx = cy").agg(F.sum("w").alias("i"))
+            square = lab.join(deg, F.col("id") == F.col("x")).groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+            one = inner.crossJoin(square).first()
+            q = (one["i"] or 0) / m2 - one["s"] / (m2 * m2)
+            if best_q is None or q > best_q + 1e-9:
+                best_q, best, worse = q, lab, 0
+            else:
+                worse += 1
+    return best
+
+
+def louvain(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cluster): communities by Louvain's two phases, deterministic: local moves until none raises modularity, then
+    clusters are contracted to weighted vertices; repeated until a level moves nothing. Isolated vertices stay alone."""
+    u = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    near = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1.0).alias("w")).unionByName(u.select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(1.0).alias("w"))))
+    m2 = float(max(1, near.count()))
+    deg = cut(near.groupBy("x").agg(F.sum("w").alias("k")))
+    labels = deg.select(F.col("x").alias("id"), F.col("x").alias("cluster"))
+    while True:
+        moved = _moves(near, deg, m2)
+        if moved.filter("id <> c").isEmpty():
             break
-    return lab.select("id", F.col("c").alias("cluster"))
+        labels = cut(labels.join(moved.select(F.col("id").alias("cluster"), "c"), "cluster").select("id", F.col("c").alias("cluster")))
+        deg = cut(deg.join(moved, F.col("x") == F.col("id")).groupBy(F.col("c").alias("x")).agg(F.sum("k").alias("k")))
+        a, b = moved.select(F.col("id").alias("x"), F.col("c").alias("cx")), moved.select(F.col("id").alias("y"), F.col("c").alias("cy"))
+        near = cut(near.join(a, "x").join(b, "y").filter("cx <> cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
+    names = labels.groupBy("cluster").agg(F.min("id").alias("name"))
+    labels = labels.join(names, "cluster").select(F.col("id").alias("k"), F.col("name").alias("cluster"))
+    return vertices.select("id").join(labels, F.col("id") == F.col("k"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def effects(edges: DataFrame, direct: DataFrame) -> DataFrame:
@@ -456,15 +491,43 @@ def _flow(lines: list[tuple[int, int]], s: int, t: int) -> int:
         total += 1
 
 
+def _spread_flow(edges: DataFrame, s: int, t: int) -> int:
+    """The same flow for a graph of any size: every augmenting path is a BFS in Spark. The driver holds the arcs in use, at most
+    the lesser degree of s and t times the longest path."""
+    both = cut(edges.unionByName(reverse(edges)).distinct())
+    spark, used, total = edges.sparkSession, {}, 0
+    while True:
+        full = [k for k, v in used.items() if v > 0]
+        free = both.join(F.broadcast(spark.createDataFrame(full, "src long, dst long")), ["src", "dst"], "left_anti") if full else both
+        seen = cut(spark.createDataFrame([(s, None)], "node long, parent long"))
+        frontier, found = seen, False
+        while not found and not frontier.isEmpty():
+            nxt = frontier.join(free, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("at")).agg(F.min("src").alias("parent"))
+            frontier = cut(nxt.join(seen.select(F.col("node").alias("at")), "at", "left_anti").select(F.col("at").alias("node"), "parent"))
+            seen = cut(seen.unionByName(frontier))
+            found = not frontier.filter(F.col("node") == t).isEmpty()
+        if not found:
+            return total
+        v = t
+        while v != s:
+            w = seen.filter(F.col("node") == v).first()["parent"]
+            used[w, v], used[v, w] = used.get((w, v), 0) + 1, used.get((v, w), 0) - 1
+            v = w
+        total += 1
+
+
 def min_cuts(edges: DataFrame, labels: DataFrame, *, most: int = 200_000) -> DataFrame:
     """(a, b, cross, cut, thinness): for every pair of clusters with edges between, the least edge cut between the two nodes
-    of greatest degree, in the undirected graph of both clusters. Pairs above `most` edges have a null cut."""
+    of greatest degree, in the undirected graph of both clusters. Pairs up to `most` edges are solved in a task each, larger
+    ones one after the other by Spark."""
     x, y = labels.select(F.col("id").alias("src"), F.col("cluster").alias("ca")), labels.select(F.col("id").alias("dst"), F.col("cluster").alias("cb"))
     u = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct().join(x, "src").join(y, "dst"))
     cross = u.filter("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count(F.lit(1)).alias("cross"))
     inner = u.filter("ca = cb")
     size = inner.groupBy(F.col("ca").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    ok = cross.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b", "left").filter(F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) + F.col("cross") <= most).select("a", "b")
+    ok = cross.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b", "left").withColumn("size", F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) + F.col("cross"))
+    ok = cut(ok.select("a", "b", "size"))
+    large, ok = ok.filter(F.col("size") > most).select("a", "b").orderBy("a", "b").collect(), ok.filter(F.col("size") <= most).select("a", "b")  # pairs of clusters of over `most` edges
     mine = u.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "src", "dst", "ca", "cb").join(ok, ["a", "b"])
     mine = mine.unionByName(inner.join(ok, inner["ca"] == ok["a"]).select("a", "b", "src", "dst", "ca", "cb")).unionByName(inner.join(ok, inner["ca"] == ok["b"]).select("a", "b", "src", "dst", "ca", "cb"))
 
@@ -476,6 +539,14 @@ def min_cuts(edges: DataFrame, labels: DataFrame, *, most: int = 200_000) -> Dat
         return pd.DataFrame([(*key, _flow(list(zip(d["src"], d["dst"], strict=True)), *ends))], columns=["a", "b", "cut"])
 
     cuts = mine.groupBy("a", "b").applyInPandas(run, "a long, b long, cut long")
+    solved = []
+    for a, b in large:
+        own = cut(u.filter(F.col("ca").isin(a, b) & F.col("cb").isin(a, b)))
+        ends = own.select(F.explode(F.array(F.struct("ca", F.col("src").alias("v")), F.struct(F.col("cb").alias("ca"), F.col("dst").alias("v")))).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("k"))
+        top = {r["c"]: -r["t"]["v"] for r in ends.groupBy(F.col("e.ca").alias("c")).agg(F.max(F.struct("k", (-F.col("e.v")).alias("v"))).alias("t")).collect()}
+        solved.append((a, b, _spread_flow(own.select("src", "dst"), top[a], top[b])))
+    if solved:
+        cuts = cuts.unionByName(edges.sparkSession.createDataFrame(solved, "a long, b long, cut long"))
     return cross.join(cuts, ["a", "b"], "left").withColumn("thinness", F.col("cut") / F.col("cross"))
 
 

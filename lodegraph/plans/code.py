@@ -37,11 +37,11 @@ put("symbols_in_file", " SELECT s.id, name, kind, line_start, path FROM symbols
 put("symbol_search_topk", DEG + " SELECT s.id, name, in_degree FROM symbols s JOIN deg USING (id) WHERE name ILIKE '%widget%' ORDER BY in_degree DESC, name, s.id LIMIT 25")(
     lambda s, d: R.search_symbols(Tables(s, d).symbols, _deg(Tables(s, d)), "%widget%", 25).select("id", "name", "in_degree")
 )
-put("callers_of", " SELECT dst AS symbol_id, src AS neighbour_id, name, path, kind FROM (SELECT e.src, e.dst, e.kind, s.name, s.file_id FROM edges e JOIN symbols s ON s.id = e.src WHERE dst % 50 = 3) x JOIN files f ON f.id = x.file_id")(
-    lambda s, d: R.neighbours(Tables(s, d).edges, Tables(s, d).symbols.drop("kind"), Tables(s, d).files, of=F.col("dst") % 50 == 3, callers=True)
+put("callers_of", " SELECT dst AS symbol_id, src AS neighbour_id, name, path, kind FROM (SELECT e.src, e.dst, e.kind, s.name, s.file_id FROM edges e JOIN symbols s ON s.id = e.src) x JOIN files f ON f.id = x.file_id")(
+    lambda s, d: R.neighbours(Tables(s, d).edges, Tables(s, d).symbols.drop("kind"), Tables(s, d).files, of=F.lit(True), callers=True)
 )
-put("callees_of", " SELECT src AS symbol_id, dst AS neighbour_id, name, path, kind FROM (SELECT e.src, e.dst, e.kind, s.name, s.file_id FROM edges e JOIN symbols s ON s.id = e.dst WHERE src % 50 = 3) x JOIN files f ON f.id = x.file_id")(
-    lambda s, d: R.neighbours(Tables(s, d).edges, Tables(s, d).symbols.drop("kind"), Tables(s, d).files, of=F.col("src") % 50 == 3, callers=False)
+put("callees_of", " SELECT src AS symbol_id, dst AS neighbour_id, name, path, kind FROM (SELECT e.src, e.dst, e.kind, s.name, s.file_id FROM edges e JOIN symbols s ON s.id = e.dst) x JOIN files f ON f.id = x.file_id")(
+    lambda s, d: R.neighbours(Tables(s, d).edges, Tables(s, d).symbols.drop("kind"), Tables(s, d).files, of=F.lit(True), callers=False)
 )
 for _n, _at, _other, _by in (("file_imports", "src", "dst", False), ("file_imported_by", "dst", "src", True)):
     put(_n, f" SELECT e.{_at} AS id, count(DISTINCT {_other}) AS files, CAST(sum(symbol_count) AS BIGINT) AS symbols, any_value(path) AS path FROM file_edges e JOIN files f ON f.id = e.{_at} GROUP BY 1")(

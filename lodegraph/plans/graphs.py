@@ -27,21 +27,19 @@ def rec(name: str, sql: str):
     return put(name, sql, recursive=True)
 
 
-def _seeds(t: Tables, cond: str):
-    return t.symbols.filter(cond).select(F.col("id").alias("root"), F.col("id").alias("node"))
+def _seeds(t: Tables):
+    return t.symbols.select(F.col("id").alias("root"), F.col("id").alias("node"))
 
 
 def _scc(t: Tables):
     return G.scc(t.symbols, t.graph)
 
 
-rec("bfs_depths", _bfs("SELECT id FROM symbols WHERE id % 40 = 1", most=6) + " SELECT root, node, dist FROM bf WHERE dist > 0")(lambda s, d: G.bfs(Tables(s, d).graph, _seeds(Tables(s, d), "id % 40 = 1"), 6).filter("dist > 0").select("root", "node", "dist"))
+rec("bfs_depths", _bfs("SELECT id FROM symbols", most=6) + " SELECT root, node, dist FROM bf WHERE dist > 0")(lambda s, d: G.bfs(Tables(s, d).graph, _seeds(Tables(s, d)), 6).filter("dist > 0").select("root", "node", "dist"))
 rec(
     "blast_radius",
-    _bfs("SELECT id FROM symbols WHERE id % 40 = 5", a="dst", b="src", most=40) + ", n AS (SELECT count(*) AS n FROM symbols) SELECT root, count(*) AS dependents, count(DISTINCT node // 10) AS files, CASE WHEN count(*) >= 0.10::DOUBLE * any_value(n) OR count(*) >= 50 THEN 'high' WHEN count(*) >= 0.02::DOUBLE * any_value(n) OR count(*) >= 10 THEN 'medium' ELSE 'low' END AS verdict FROM bf, n WHERE node <> root GROUP BY 1",
-)(
-    lambda s, d: (lambda t: G.bfs(G.reverse(t.graph), _seeds(t, "id % 40 = 5"), 40).filter("dist > 0").groupBy("root").agg(F.count(F.lit(1)).alias("dependents"), F.count_distinct(F.expr("node div 10")).alias("files")).crossJoin(F.broadcast(t.symbols.agg(F.count(F.lit(1)).alias("n")))).select("root", "dependents", "files", S.blast_verdict(F.col("dependents"), F.col("dependents") / F.col("n")).alias("verdict")))(Tables(s, d))
-)
+    CLO + ", n AS (SELECT count(*) AS n FROM symbols) SELECT dst AS root, count(*) AS dependents, count(DISTINCT src // 10) AS files, CASE WHEN count(*) >= 0.10::DOUBLE * any_value(n) OR count(*) >= 50 THEN 'high' WHEN count(*) >= 0.02::DOUBLE * any_value(n) OR count(*) >= 10 THEN 'medium' ELSE 'low' END AS verdict FROM clo, n WHERE src <> dst GROUP BY 1",
+)(lambda s, d: G.blast_radius(Tables(s, d).symbols, Tables(s, d).graph, F.expr("src div 10")))
 rec("transitive_closure", CLO + " SELECT src, dst FROM clo")(lambda s, d: G.closure(Tables(s, d).graph))
 rec("propagation_cost", CLO + " SELECT round(count(*) / CAST((SELECT count(*) * (count(*) - 1) FROM v) AS DOUBLE), 9) AS cost FROM clo")(lambda s, d: (lambda t: G.closure(t.graph).agg(F.count(F.lit(1)).alias("c")).crossJoin(t.symbols.agg(F.count(F.lit(1)).alias("n"))).select(F.round(F.col("c") / (F.col("n") * (F.col("n") - 1)), 9).alias("cost")))(Tables(s, d)))
 rec("scc", SCC + " SELECT id, scc FROM sc")(lambda s, d: _scc(Tables(s, d)))
@@ -54,8 +52,9 @@ put("layer_violations", ", lay AS (SELECT id, id % 5 AS layer FROM symbols) SELE
     lambda s, d: G.violations(Tables(s, d).graph, Tables(s, d).symbols.select("id", (F.col("id") % 5).alias("layer")))
 )
 rec("connected_components", ", und AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph), walk AS (SELECT id AS node, id AS low FROM symbols UNION SELECT u.dst, w.low FROM walk w JOIN und u ON u.src = w.node WHERE w.low < u.dst) SELECT node AS id, min(low) AS component FROM walk GROUP BY 1")(lambda s, d: G.components(Tables(s, d).symbols, Tables(s, d).graph))
+put("pagerank", None)(lambda s, d: G.pagerank(Tables(s, d).symbols, Tables(s, d).graph).select("id", F.round("rank", 9).alias("rank")))
 rec(
-    "pagerank",
+    "pagerank_rounds",
     ", n AS (SELECT count(*) AS n FROM symbols), od AS (SELECT src, count(*) AS deg FROM graph GROUP BY 1), it AS (SELECT 0 AS k, s.id, 1.0::DOUBLE / n AS r FROM symbols s, n UNION ALL SELECT k, id, r FROM (SELECT x.k + 1 AS k, v.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce((SELECT sum(p.r / od.deg) FROM it p JOIN graph g ON g.src = p.id JOIN od ON od.src = p.id WHERE g.dst = v.id), 0) + (SELECT coalesce(sum(p.r), 0) FROM it p WHERE p.id NOT IN (SELECT src FROM od)) / n) AS r FROM (SELECT DISTINCT k FROM it) x, symbols v, n WHERE x.k < 10)) SELECT id, round(r, 9) AS rank FROM it WHERE k = 10",
 )(lambda s, d: G.pagerank(Tables(s, d).symbols, Tables(s, d).graph, rounds=10, tolerance=None).select("id", F.round("rank", 9).alias("rank")))
 UND = ", und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM graph), u AS (SELECT x.cluster AS ca, y.cluster AS cb FROM und JOIN labelled x ON x.id = a JOIN labelled y ON y.id = b), vol AS (SELECT c, count(*) AS v, sum(x) AS cut FROM (SELECT ca AS c, CAST(ca <> cb AS INT) AS x FROM u UNION ALL SELECT cb, CAST(ca <> cb AS INT) FROM u) GROUP BY 1)"
@@ -65,14 +64,14 @@ put("cluster_cohesion", ", u AS (SELECT x.cluster AS ca, y.cluster AS cb FROM gr
 put("conflict_probability", ", u AS (SELECT x.cluster AS ca, y.cluster AS cb FROM graph JOIN labelled x ON x.id = src JOIN labelled y ON y.id = dst) SELECT round(avg(CAST(ca <> cb AS INT)), 6) AS probability FROM u")(
     lambda s, d: (lambda t: t.graph.join(t.labels.select(F.col("id").alias("src"), F.col("cluster").alias("ca")), "src").join(t.labels.select(F.col("id").alias("dst"), F.col("cluster").alias("cb")), "dst").agg(r6(F.avg((F.col("ca") != F.col("cb")).cast("int"))).alias("probability")))(Tables(s, d))
 )
-rec("affected_tests", _bfs("SELECT id FROM symbols WHERE id % 60 = 9", a="dst", b="src", most=10) + " SELECT root, node, dist, CASE WHEN dist = 1 THEN 'DIRECT' ELSE 'TRANSITIVE' END AS kind FROM bf JOIN files f ON f.id = node // 10 WHERE is_test = 1 AND dist > 0")(
-    lambda s, d: (lambda t: G.bfs(G.reverse(t.graph), _seeds(t, "id % 60 = 9"), 10).filter("dist > 0").withColumn("id", F.expr("node div 10")).join(t.files.filter("is_test = 1").select("id"), "id", "left_semi").select("root", "node", "dist", F.when(F.col("dist") == 1, "DIRECT").otherwise("TRANSITIVE").alias("kind")))(Tables(s, d))
+rec("affected_tests", _bfs("SELECT id FROM symbols", a="dst", b="src", most=10) + " SELECT root, node, dist, CASE WHEN dist = 1 THEN 'DIRECT' ELSE 'TRANSITIVE' END AS kind FROM bf JOIN files f ON f.id = node // 10 WHERE is_test = 1 AND dist > 0")(
+    lambda s, d: (lambda t: G.bfs(G.reverse(t.graph), _seeds(t), 10).filter("dist > 0").withColumn("id", F.expr("node div 10")).join(t.files.filter("is_test = 1").select("id"), "id", "left_semi").select("root", "node", "dist", F.when(F.col("dist") == 1, "DIRECT").otherwise("TRANSITIVE").alias("kind")))(Tables(s, d))
 )
 rec("gate_reach", _bfs("SELECT id FROM symbols WHERE id NOT IN (SELECT dst FROM graph) AND id IN (SELECT src FROM graph)", most=8) + " SELECT root, CAST(min(dist) AS BIGINT) AS dist FROM bf WHERE node % 25 = 0 GROUP BY 1")(
     lambda s, d: (lambda t: G.bfs(t.graph, t.graph.select("src").distinct().join(t.graph.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("root"), F.col("src").alias("node")), 8).filter("node % 25 = 0").groupBy("root").agg(F.min("dist").alias("dist")))(Tables(s, d))
 )
-rec("vuln_reach", _bfs("SELECT id FROM symbols WHERE id NOT IN (SELECT dst FROM graph)") + ", best AS (SELECT node, min(dist) AS hops FROM bf GROUP BY 1) SELECT s.id, CAST(CASE WHEN hops IS NULL THEN -1 ELSE 1 END AS INTEGER) AS reachable, hops FROM symbols s LEFT JOIN best ON node = s.id WHERE s.id % 20 = 3")(
-    lambda s, d: (lambda t: t.symbols.filter("id % 20 = 3").select("id").join(G.reach(t.graph, t.symbols.select(F.col("id").alias("node")).join(t.graph.select(F.col("dst").alias("node")), "node", "left_anti")), F.col("id") == F.col("node"), "left").select("id", F.when(F.col("dist").isNull(), -1).otherwise(1).alias("reachable"), F.col("dist").alias("hops")))(Tables(s, d))
+rec("vuln_reach", _bfs("SELECT id FROM symbols WHERE id NOT IN (SELECT dst FROM graph)") + ", best AS (SELECT node, min(dist) AS hops FROM bf GROUP BY 1) SELECT s.id, CAST(CASE WHEN hops IS NULL THEN -1 ELSE 1 END AS INTEGER) AS reachable, hops FROM symbols s LEFT JOIN best ON node = s.id")(
+    lambda s, d: (lambda t: t.symbols.select("id").join(G.reach(t.graph, t.symbols.select(F.col("id").alias("node")).join(t.graph.select(F.col("dst").alias("node")), "node", "left_anti")), F.col("id") == F.col("node"), "left").select("id", F.when(F.col("dist").isNull(), -1).otherwise(1).alias("reachable"), F.col("dist").alias("hops")))(Tables(s, d))
 )
 DIRECT = "SELECT id, CASE id % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'database' ELSE 'filesystem' END AS effect FROM symbols WHERE id % 15 = 2"
 rec("effects_propagated", CLO + f", direct AS ({DIRECT}), al AS (SELECT id, effect FROM direct UNION SELECT c.src, effect FROM clo c JOIN direct d ON d.id = c.dst) SELECT id, effect, CASE WHEN EXISTS (SELECT 1 FROM direct d WHERE d.id = al.id AND d.effect = al.effect) THEN 'direct' ELSE 'transitive' END AS source FROM al")(
@@ -88,5 +87,5 @@ put("louvain", None)(lambda s, d: G.louvain(Tables(s, d).symbols, Tables(s, d).g
 put("k_paths", None)(lambda s, d: (lambda t: (lambda e: G.paths(t.edges, int(e["src"]), int(e["dst"])))(t.edges.orderBy("src", "dst").first()))(Tables(s, d)))
 put("min_cut", None)(lambda s, d: G.min_cuts(Tables(s, d).graph, Tables(s, d).labels))
 put("fiedler", None)(lambda s, d: s.createDataFrame([(G.fiedler(Tables(s, d).file_edges),)], "connectivity double"))
-rec("distance_matrix", _bfs("SELECT id FROM symbols WHERE id % 30 = 2", most=8) + " SELECT root AS a, node AS b, dist FROM bf WHERE node % 30 = 2 AND dist > 0")(lambda s, d: G.distance_matrix(Tables(s, d).graph, Tables(s, d).symbols.filter("id % 30 = 2").select("id")))
-put("shared_callees", " SELECT dst AS id, count(DISTINCT src) AS callers FROM graph WHERE src % 3 = 0 GROUP BY 1 HAVING count(DISTINCT src) >= 2")(lambda s, d: Tables(s, d).graph.filter("src % 3 = 0").groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers")).filter("callers >= 2"))
+rec("distance_matrix", _bfs("SELECT id FROM symbols", most=8) + " SELECT root AS a, node AS b, dist FROM bf WHERE dist > 0")(lambda s, d: G.distance_matrix(Tables(s, d).graph, Tables(s, d).symbols.select("id")))
+put("shared_callees", " SELECT dst AS id, count(DISTINCT src) AS callers FROM graph GROUP BY 1 HAVING count(DISTINCT src) >= 2")(lambda s, d: Tables(s, d).graph.groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("callers")).filter("callers >= 2"))

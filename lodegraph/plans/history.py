@@ -101,15 +101,14 @@ def missing_partners(spark: SparkSession, d: str) -> DataFrame:
 FN = ", fc AS (SELECT commit_id, file_id // 10 AS file_id FROM changes)"
 
 
-@query("fn_coupling", oracle(FN + _pairs("fc", 30) + ", q AS (SELECT least(a.id, b2.id) AS a, greatest(a.id, b2.id) AS b, cochange_count FROM p JOIN symbols a ON a.file_id = file_id_a JOIN symbols b2 ON b2.file_id = file_id_b WHERE cochange_count >= 4) SELECT q.a, q.b, cochange_count FROM q WHERE NOT EXISTS (SELECT 1 FROM graph g WHERE (g.src = q.a AND g.dst = q.b) OR (g.src = q.b AND g.dst = q.a)) AND (q.a + q.b) % 97 = 0"))
+@query(
+    "fn_coupling",
+    oracle(
+        FN + _pairs("fc", 30) + ", q AS (SELECT least(a.id, b2.id) AS a, greatest(a.id, b2.id) AS b, cochange_count FROM p JOIN symbols a ON a.file_id = file_id_a JOIN symbols b2 ON b2.file_id = file_id_b WHERE cochange_count >= 3), "
+        "tied AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM graph) SELECT q.a, q.b, cochange_count FROM q ANTI JOIN tied USING (a, b)"
+    ),
+)
 def fn_coupling(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    return H.fn_coupling(t.changes.withColumn("file_id", F.expr("file_id div 10")), t.symbols, t.graph, least=4).filter("(a + b) % 97 = 0")
-
-
-@query("fn_coupling_all")
-def fn_coupling_all(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs from the operator's own count of 3; `fn_coupling` is the slice that its SQL checks."""
     t = Tables(spark, d)
     return H.fn_coupling(t.changes.withColumn("file_id", F.expr("file_id div 10")), t.symbols, t.graph)
 

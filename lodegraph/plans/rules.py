@@ -133,8 +133,8 @@ put("tfidf_search", TFIDF + ", q(t, q) AS (VALUES ('licens', 1.0), ('public', 0.
 put("grep_lines", ", l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) SELECT doc, CAST(line AS INTEGER) AS line, CAST((line - 1) // 5 AS INTEGER) AS span FROM l WHERE regexp_matches(body, '[Ll]icensed|[0-9]{3}-[0-9]{2}')")(lambda s, d: T.grep(Tables(s, d).raw("documents"), "doc_id", "text", "[Ll]icensed|[0-9]{3}-[0-9]{2}"))
 URL = ", u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''), '\\.html?$', ''), '/$', ''), '/[0-9]+', '/{}', 'g') AS template FROM pages)"
 put("url_normalize", URL + " SELECT page_id, template FROM u")(lambda s, d: Tables(s, d).raw("pages").select("page_id", T.url_template(F.col("url")).alias("template")))
-put("url_match", URL + " SELECT a.page_id AS route_id, b.page_id AS call_id FROM u a JOIN u b USING (template) WHERE a.page_id % 25 = 0 AND b.page_id % 25 = 1")(
-    lambda s, d: (lambda u: T.url_match(u.filter("page_id % 25 = 0").select(F.col("page_id").alias("route_id"), "template"), u.filter("page_id % 25 = 1").select(F.col("page_id").alias("call_id"), "template")))(Tables(s, d).raw("pages").select("page_id", T.url_template(F.col("url")).alias("template")))
+put("url_match", URL + " SELECT a.page_id AS route_id, b.page_id AS call_id FROM u a JOIN u b USING (template)")(
+    lambda s, d: (lambda u: T.url_match(u.select(F.col("page_id").alias("route_id"), "template"), u.select(F.col("page_id").alias("call_id"), "template")))(Tables(s, d).raw("pages").select("page_id", T.url_template(F.col("url")).alias("template")))
 )
 put("orphan_routes", ", r AS (SELECT page_id, split_part(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '.', 1) AS segment FROM pages) SELECT page_id AS route_id FROM r WHERE segment NOT IN (SELECT segment FROM r WHERE page_id % 10 = 3)")(
     lambda s, d: (lambda r: T.orphan_routes(r.withColumnRenamed("page_id", "route_id"), r.filter("page_id % 10 = 3").select("segment")))(Tables(s, d).raw("pages").select("page_id", F.substring_index(F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]*)", 1), ".", 1).alias("segment")))
