@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """`wanted`, with underscores added until no column of `df` is called that (case ignored)."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
+def free_name(df: DataFrame, wanted: str, *, prefix: bool = False) -> str:
+    """`wanted`, with underscores added until no column of `df` is called that, or starts with it (case ignored)."""
+    have = [c.lower() for c in df.columns]
+    while any(c.startswith(wanted.lower()) if prefix else c == wanted.lower() for c in have):
         wanted = f"_{wanted}"
     return wanted
 
@@ -53,19 +53,20 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, per_
     """Adds `name`: a gapless number from 0 within each group, whatever the group's size.
 
     A group is dealt out over as many hash buckets as its count asks for (`per_task` rows each), numbered inside each
-    bucket, and shifted by the counts of the buckets before it. No task ever holds more than a bucket.
+    bucket, and shifted by the counts of the buckets before it. Every row has a staged serial number that is hashed too, so
+    equal rows spread like any others and no task holds more than a bucket. A row's number may differ between runs.
     """
-    n = df.count()
-    buckets = max(least, -(-n // per_task))
-    b, cnt, off = (free_name(df, x) for x in ("bucket", "cnt", "off"))
-    keyed = df.withColumn(b, F.pmod(F.xxhash64(F.lit(7), *order), F.lit(buckets)).cast("int"))
+    b, cnt, off, row = (free_name(df, x) for x in ("bucket", "cnt", "off", "row"))
+    df = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    buckets = max(least, -(-df.count() // per_task))
+    keyed = df.withColumn(b, F.pmod(F.xxhash64(F.lit(7), *order, row), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias(cnt))
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, b, F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))
     offsets = staged(offsets, "offsets")
-    ranked = keyed.withColumn(name, F.row_number().over(Window.partitionBy(*groups, b).orderBy(*order)) - 1)
+    ranked = keyed.withColumn(name, F.row_number().over(Window.partitionBy(*groups, b).orderBy(*order, row)) - 1)
     on = [ranked[g].eqNullSafe(offsets[g]) for g in [*groups, b]]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    return ranked.join(offsets, cond, "left").select(*[ranked[c] for c in df.columns], (ranked[name] + offsets[off]).cast("long").alias(name))
+    return ranked.join(offsets, cond, "left").select(*[ranked[c] for c in df.columns if c != row], (ranked[name] + offsets[off]).cast("long").alias(name))

@@ -3,7 +3,7 @@
 1. Texts become token ids (one Python pass, Arrow batches); documents longer than a sequence are cut into full pieces.
 2. Only the histogram of piece lengths, at most `size` numbers whatever the corpus, reaches the driver. Patterns of one, two or
    three pieces that fill a sequence exactly are enumerated (PARTNERS choices for each longest piece), and repeat counts are
-   fitted to the histogram by non-negative least squares (cyclic coordinate descent, whose solutions stay sparse).
+   fitted to the histogram by non-negative least squares (coordinate descent to convergence, whose solutions stay sparse).
 3. Counts are rounded down and held to what there is; what remains is packed by best fit on the histogram: longest piece
    first, then an exact filler or pair of fillers if there is one, else the longest that fits; each pattern repeats while
    its lengths last, so every step uses up a length.
@@ -31,7 +31,6 @@ from .common import numbered, staged, table
 SIZE = 4096
 END_ID = 1
 PARTNERS = 48
-SWEEPS = 3
 #: Texts of these characters only are split here and their words' ids remembered; others go to the tokenizer whole.
 _PLAIN = re.compile("[^\t-\r -~¡-ſ‐-‧]")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -166,22 +165,36 @@ def patterns(lengths: np.ndarray, size: int) -> list[tuple[int, ...]]:
     return found
 
 
-def fitted(counts: np.ndarray, found: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[float]:
-    """Non-negative repeats x that bring sum(x_p pattern_p) near the counts, in least squares."""
+def fitted(counts: np.ndarray, found: list[tuple[int, ...]]) -> list[float]:
+    """Non-negative repeats x that bring sum(x_p pattern_p) near the counts, in least squares: coordinate descent on the
+    patterns in use until no step is larger than a quarter (or a thousandth of the largest count), then on all; ends when
+    a sweep over all makes no such step either."""
     left = counts.astype(float).tolist()
     x = [0.0] * len(found)
-    uses = [{v: p.count(v) for v in set(p)} for p in found]
-    norms = [sum(c * c for c in u.values()) for u in uses]
-    for _ in range(sweeps):
-        for k, u in enumerate(uses):
+    uses = [list({v: p.count(v) for v in set(p)}.items()) for p in found]
+    norms = [sum(c * c for _, c in u) for u in uses]
+    small = max(0.25, 1e-3 * float(counts.max(initial=0)))
+
+    def sweep(which) -> float:
+        most = 0.0
+        for k in which:
             g = 0.0
-            for v, c in u.items():
+            for v, c in uses[k]:
                 g += c * left[v]
-            step = max(-x[k], g / norms[k])
+            step = g / norms[k]
+            if step < -x[k]:
+                step = -x[k]
             if step:
                 x[k] += step
-                for v, c in u.items():
+                for v, c in uses[k]:
                     left[v] -= c * step
+                most = max(most, abs(step))
+        return most
+
+    while sweep(range(len(found))) > small:
+        active = [k for k in range(len(found)) if x[k] > 0]
+        while sweep(active) > small:
+            pass
     return x
 
 
@@ -244,13 +257,13 @@ def _table(plan: Plan) -> dict[str, np.ndarray]:
 def packed(found: DataFrame, *, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to the rows of pieces()."""
     spark = found.sparkSession
+    names = [*found.columns, "sequence_id", "offset"]
     found = staged(found, "pieces")
     counts = np.zeros(size + 1, dtype=np.int64)
     for r in found.groupBy("length").count().collect():  # at most `size` rows
         counts[r["length"]] = r["count"]
     at = spark.sparkContext.broadcast(_table(packing_plan(counts, size)))
     ranked = numbered(found, ["length"], ["doc_id", "piece", "ids_crc32"], "_number", least=16)
-    names = [*found.columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = at.value

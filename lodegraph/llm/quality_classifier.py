@@ -6,7 +6,7 @@
 
 The sample is the SAMPLE labelled rows of smallest hash (a parameter), the same at every run. Only statistics of the text are
 inputs. Without labelled rows the score is 0.5; with one class only, the smoothed share of that class. Null and empty texts
-have all statistics 0 and a score like any other. Repeated rows are scored each; null labels teach nothing.
+have all statistics 0 and a score like any other; texts of any length are read whole. Repeated rows are scored each; null labels teach nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_where, staged, table
+from .common import free_name, kept_where, staged, table
 from .textstats import with_stats
 
 SAMPLE = 20_000
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with the column `name`. A projection over the whole texts."""
-    p = "_c_"
+    p = free_name(docs, "_c_", prefix=True)
     d = with_stats(docs, "text", p)
     cols = features(p)
     d = d.select(*docs.columns, *[c.alias(f"{p}{k}") for k, c in cols.items()])
@@ -185,8 +185,9 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score `threshold` or more, with the same columns."""
-    good = scored(docs, learn(docs, labels), "_c_score").withColumn("_c_good", F.col("_c_score") >= threshold)
-    return kept_where(good, "_c_good").select(*docs.columns)
+    score, good = free_name(docs, "score"), free_name(docs, "good")
+    d = scored(docs, learn(docs, labels), score).withColumn(good, F.col(score) >= threshold)
+    return kept_where(d, good).select(*docs.columns)
 
 
 def op10_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
 DataFrame operations only. Each document becomes five transformed statistics (log mean word length; square roots of the
-shares of symbols, capitals, words in repeated windows and repeated lines). For every (language, source) the estimate starts
-at medians and interquartile ranges and takes concentration steps: Mahalanobis distances under the current estimate, the
-nearest `share` of the group's documents, their mean and covariance. The nearest are found by a histogram of distances, so a
-step is one pre-aggregated group-by over (language, source, distance bin) of any size, and its sums are exact integers
-(statistics in thousandths): reruns agree to the bit. A group below `least` documents is pooled with the other small groups of
-its language; a pool below that rejects nothing. A ridge (`FLOOR`) keeps statistics that are constant in the core finite.
-
-Null texts have no words and fail the base rules. Null languages and sources are values of their own. Repeated rows count each.
+shares of symbols, capitals, words in repeated windows and repeated lines). For every (language, source) three starts are
+tried side by side: medians with interquartile ranges, medians with least deviations, and mean and covariance of all. Each
+takes concentration steps (Mahalanobis distances under the current estimate, the nearest `share` of the group's documents, their
+mean and covariance) until none lowers the covariance's determinant, and the start that ends with the least determinant
+gives the estimate. The nearest are found by a histogram of distances, so a step is one pre-aggregated group-by over
+(language, source, start, distance bin) of any size, and its sums are exact integers (statistics in thousandths): reruns agree
+to the bit. The core so is whole bins, the last of which may take it beyond the share. A group below `LEAST` documents is
+pooled with the other small groups of its language; a pool below that has no estimate and its documents pass: of fewer than
+ten documents a statistic, distances would say nothing. A ridge (`FLOOR`) keeps statistics that are constant in the core finite.
+
+Null texts have no words and fail the base rules. Texts of any length are read whole. Null languages and sources are values of
+their own. Repeated rows count each. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,14 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept_where, staged, table
+from .common import discard, free_name, kept_where, staged, table
 from .textstats import BASE, with_stats
 
 #: Least standard deviation of each statistic: rounding and short texts alone spread it so far.
 FLOOR = (0.06, 0.05, 0.06, 0.16, 0.16)
 P = len(FLOOR)
 SHARE = 0.75
-STEPS = 6
 LEAST = 60
 #: Consistency of a 75 % core at the normal distribution with 5 dimensions: 0.75 / P(chi2_7 <= the 75 % point of chi2_5).
 CONSISTENT = 1.41
@@ -67,7 +70,13 @@ def _factored(d: DataFrame) -> DataFrame:
                 v = v - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             ridge = (1000 * FLOOR[i]) ** 2
             d = d.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(v, F.lit(0.0)) + F.lit(ridge)) if i == j else v / F.col(f"l{j}_{j}"))
-    return d.select("k1", "k2", *[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i in range(P) for j in range(i + 1)])
+    det = F.lit(0.0)
+    for i in range(P):
+        det = det + F.log(F.col(f"l{i}_{i}"))
+    return d.select("k1", "k2", "start", *_PARAMETERS, det.alias("det"))
+
+
+_PARAMETERS = [*[f"m{i}" for i in range(P)], *[f"l{i}_{j}" for i in range(P) for j in range(i + 1)]]
 
 
 def _squared(d: DataFrame, p: str, name: str) -> DataFrame:
@@ -104,18 +113,29 @@ def fit(stats: DataFrame, p: str = "") -> tuple[DataFrame, DataFrame]:
     q = hist.select("k1", "k2", "i", *[(_at(hist, x, ["k1", "k2", "i"]) * 10 + 5).alias(f"q{x}".replace(".", "")) for x in (0.25, 0.5, 0.75)]).distinct()
     q = q.withColumn("sd", (F.col("q075") - F.col("q025")) / F.lit(1.349))
     pick = lambda name, i: F.max(F.when(F.col("i") == i, F.col(name))).cast("double")
-    start = q.groupBy("k1", "k2").agg(*[pick("q05", i).alias(f"m{i}") for i in range(P)], *[F.sqrt(pick("sd", i) * pick("sd", i) + F.lit((1000 * FLOOR[i]) ** 2)).alias(f"l{i}_{i}") for i in range(P)])
-    est = start.select("k1", "k2", *[f"m{i}" for i in range(P)], *[(F.col(f"l{i}_{j}") if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1)])
-    est = staged(est, "start")
+    middle = q.groupBy("k1", "k2").agg(*[pick("q05", i).alias(f"m{i}") for i in range(P)], *[pick("sd", i).alias(f"sd{i}") for i in range(P)])
+    floors = [(1000 * x) ** 2 for x in FLOOR]
+    flat = lambda k, wide: middle.select("k1", "k2", F.lit(k).alias("start"), *[f"m{i}" for i in range(P)], *[(F.sqrt(wide(i) + F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1)], F.lit(float("inf")).alias("det"))
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)] + [F.sum(F.col(xs[j]) * F.col(xs[i])).alias(f"s{j}_{i}") for i in range(P) for j in range(i + 1)]
     names = ["n", *[f"s{i}" for i in range(P)], *[f"s{j}_{i}" for i in range(P) for j in range(i + 1)]]
-    for _ in range(STEPS):
-        far = _squared(rows.join(est, ["k1", "k2"]), "", "d2")
-        bins = far.withColumn("bin", F.least(F.floor(F.log1p(F.col("d2")) * 64), F.lit(4000)).cast("int")).groupBy("k1", "k2", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        g = Window.partitionBy("k1", "k2")
+    whole = _factored(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *sums).withColumn("start", F.lit(2))).withColumn("det", F.lit(float("inf")))
+    est = flat(0, lambda i: F.col(f"sd{i}") * F.col(f"sd{i}")).unionByName(flat(1, lambda i: F.lit(0.0))).unionByName(whole)
+    est = staged(est.join(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= LEAST).select("k1", "k2"), ["k1", "k2"]).withColumn("moved", F.lit(True)), "starts")
+    group = ["k1", "k2", "start"]
+    while not est.filter("moved").isEmpty():
+        far = _squared(rows.join(est.filter("moved"), ["k1", "k2"]), "", "d2")
+        bins = far.withColumn("bin", F.least(F.floor(F.log1p(F.col("d2")) * 64), F.lit(4000)).cast("int")).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+        g = Window.partitionBy(*group)
         bins = bins.withColumn("all", F.sum("n").over(g)).withColumn("before", F.coalesce(F.sum("n").over(g.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        core = bins.filter((F.col("before") < F.lit(SHARE) * F.col("all")) & (F.col("all") >= LEAST)).groupBy("k1", "k2").agg(*[F.sum(x).alias(x) for x in names])
-        est = staged(_factored(core), "estimate")
+        core = bins.filter(F.col("before") < F.lit(SHARE) * F.col("all")).groupBy(*group).agg(*[F.sum(x).alias(x) for x in names])
+        new = _factored(core).withColumnRenamed("start", "again").withColumnsRenamed({x: f"new_{x}" for x in [*_PARAMETERS, "det"]})
+        both = est.join(new.withColumnsRenamed({"k1": "j1", "k2": "j2"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.col("start") == F.col("again")), "left")
+        better = F.coalesce(F.col("new_det") < F.col("det") - F.lit(1e-9), F.lit(False))
+        step = staged(both.select(*group, *[F.when(better, F.col(f"new_{x}")).otherwise(F.col(x)).alias(x) for x in [*_PARAMETERS, "det"]], better.alias("moved")), "estimate")
+        discard(est)
+        est = step
+    best = est.groupBy("k1", "k2").agg(F.min_by(F.struct(*_PARAMETERS), F.struct("det", "start")).alias("best"))
+    est = staged(best.select("k1", "k2", "best.*"), "estimates")
     return keys, est
 
 
@@ -138,7 +158,7 @@ def _stats(docs: DataFrame, p: str) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that base rules and distances keep, with the same columns. Texts are read twice and never shuffled."""
-    p = "_q_"
+    p = free_name(docs, "_q_", prefix=True)
     cols = [f"{p}{x}" for x in [*BASE, "n_upper", "n_lines"]]
     light = staged(_stats(docs, p).select("lang", "source", *cols), "stats")
     keys, est = fit(light, p)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, numbered, staged, table, text_crc32
+from .common import free_name, numbered, table, text_crc32
 
 #: 2 to the power 52, which doubles hold exactly.
 _SPAN = float(1 << 52)
@@ -41,7 +41,7 @@ def with_shards(df: DataFrame, key: str, shards: int | list[float], *, seed: int
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], *, name: str = "slot") -> DataFrame:
-    """Adds a gapless place from 0 inside each shard. A shard's rows are numbered in hash buckets of bounded size."""
+    """Adds a gapless place from 0 inside each shard. A shard's rows are numbered in hash buckets of bounded size, equal rows too."""
     return numbered(df, [shard], order, name)
 
 
@@ -60,7 +60,7 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str, shards: int = 16)
     d = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), text_crc32(text).alias("text_crc32"))
     d = with_shards(d, "doc_id", shards)
     d = with_shards(d, "doc_id", shards + 1, name="grown_shard")
-    d = with_slots(staged(d, "sharded"), "shard", ["doc_id", "size", "text_crc32"])
+    d = with_slots(d, "shard", ["doc_id", "size", "text_crc32"])
     return d.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
