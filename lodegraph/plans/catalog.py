@@ -1,5 +1,5 @@
 """Imports the modules that register queries."""
 
-from . import code, graphs, history, links, rules, streams
+from . import code, graphs, history, links, review, rules, streams
 
-__all__ = ["code", "graphs", "history", "links", "rules", "streams"]
+__all__ = ["code", "graphs", "history", "links", "review", "rules", "streams"]
