@@ -41,15 +41,15 @@ def _fixed(level: str) -> Callable[[], Column]:
 #: One for each task of the catalogue that can be detected.
 DETECTORS = [
     Detector("sorting", "manual", lambda: named("sort") & (_c("nested") == 1), "nested loops in a sort", lambda: F.when(_c("subscript") == 1, "high").otherwise("medium"), "library sort, n log n"),
-    Detector("search-sorted", "linear", lambda: named("search", "find", "bolt") & (_c("compares") == 1) & (_c("loop_depth") >= 1), "linear scan of sorted data", _fixed("low"), "bisection, log n"),
-    Detector("membership", "list", lambda: named("has_", "contains", "exists", "is_in", "ring") & (_c("compares") == 1) & (_c("loop_depth") >= 1), "loop that tests membership", _fixed("medium"), "hash set, constant"),
+    Detector("search-sorted", "linear", lambda: named("search_sorted", "searchsorted", "find_sorted", "findsorted", "in_sorted", "linear_search", "linearsearch") & (_c("compares") == 1) & (_c("loop_depth") >= 1), "linear scan of sorted data", _fixed("low"), "bisection, log n"),
+    Detector("membership", "list", lambda: named("contain", "member", "exist", "has_", "in_", "check", "includes") & (_c("compares") == 1) & (_c("loop_depth") >= 1), "loop that tests membership", _fixed("medium"), "hash set, constant"),
     Detector("string-concat", "append", lambda: (_c("concat") == 1) & (_c("loop_depth") >= 1), "string grown in a loop", lambda: F.when(called("add"), "high").otherwise("medium"), "join, linear"),
-    Detector("unique", "nested", lambda: named("unique", "dedup", "distinct", "widget") & (_c("nested") == 1) & ~called("add"), "pairwise comparison for uniqueness", _fixed("medium"), "hash set, linear"),
-    Detector("max-min", "manual", lambda: named("max", "min", "largest", "smallest") & (_c("compares") == 1), "loop for an extreme", _fixed("low"), "built-in"),
-    Detector("accumulation", "manual", lambda: named("sum", "total", "count") & (_c("accumulates") == 1), "loop that adds", _fixed("low"), "built-in sum"),
-    Detector("fibonacci", "recursive", lambda: named("fib", "nut") & (_c("self_calls") >= 2) & ~_c("memo"), "two self calls without memo", _fixed("high"), "iteration"),
+    Detector("unique", "nested", lambda: named("unique", "dedup", "distinct", "remove_dup", "removedup") & (_c("nested") == 1) & ~called("add"), "pairwise comparison for uniqueness", _fixed("medium"), "hash set, linear"),
+    Detector("max-min", "manual", lambda: named("find_max", "find_min", "findmax", "findmin", "get_max", "get_min", "getmax", "getmin", "find_largest", "find_smallest", "findlargest", "findsmallest") & (_c("compares") == 1), "loop for an extreme", _fixed("low"), "built-in"),
+    Detector("accumulation", "manual", lambda: named("sum", "total", "accumulate") & (_c("accumulates") == 1), "loop that adds", _fixed("low"), "built-in sum"),
+    Detector("fibonacci", "recursive", lambda: named("fib") & (_c("self_calls") >= 2) & ~_c("memo"), "two self calls without memo", _fixed("high"), "iteration"),
     Detector("nested-lookup", "nested", lambda: (_c("nested") == 1) & (_c("compares") == 1) & (_c("cc") >= 8) & ~named("grid", "matrix"), "lookup in an inner loop", _fixed("medium"), "hash join"),
-    Detector("groupby", "manual", lambda: named("group", "bucket", "gear") & (_c("loop_depth") >= 1), "manual grouping", _fixed("low"), "defaultdict"),
+    Detector("groupby", "manual", lambda: named("group", "bucket", "partition", "categorize", "classify", "bin_by", "key_by", "index_by") & (_c("loop_depth") >= 1), "manual grouping", _fixed("low"), "defaultdict"),
     Detector("busy-wait", "sleep", lambda: called("sleep") & (_c("loop_depth") >= 1) & ~named("poll", "retry"), "sleep in a loop", _fixed("medium"), "event"),
     Detector("regex-in-loop", "inline", lambda: called("compile", "match") & (_c("loop_depth") >= 1), "pattern built in a loop", lambda: F.when(called("compile"), "high").otherwise("medium"), "compile once"),
     Detector("io-in-loop", "single", lambda: called("query", "insert") & (_c("loop_depth") >= 1), "I/O for each element", lambda: F.when(called("query"), "high").otherwise("medium"), "batch"),

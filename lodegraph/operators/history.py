@@ -25,10 +25,18 @@ def bounded(changes: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
     return t.join(n.select("commit_id"), "commit_id", "left_semi")
 
 
+def _gathered(changes: DataFrame, least: int, most: int) -> DataFrame:
+    """(commit_id, n, fs) of commits of `least` to `most` files, in order. The first `most` + 1 files of a commit tell; the
+    rest of a huge one is left behind before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("commit_id").orderBy("file_id"))
+    few = touched(changes).withColumn("place", place).filter(F.col("place") <= most + 1)
+    return few.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("file_id")).alias("fs")).filter(F.col("n").between(least, most))
+
+
 def cochange_pairs(changes: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
-    """(file_id_a, file_id_b, cochange_count) with a < b. One shuffle of changes: a commit's files are gathered (at most
-    `most` of them pass) and its pairs exploded there."""
-    files = touched(changes).groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("file_id").alias("fs")).filter(F.col("n").between(least, most))
+    """(file_id_a, file_id_b, cochange_count) with a < b. One shuffle of changes by commit: its files are gathered, never more
+    than `most` + 1 of them, and its pairs exploded there."""
+    files = _gathered(changes, least, most)
     one = files.select("fs", F.explode("fs").alias("file_id_a"))
     pairs = one.select("file_id_a", F.explode(F.filter("fs", lambda x: x > F.col("file_id_a"))).alias("file_id_b"))
     return pairs.groupBy("file_id_a", "file_id_b").agg(F.count(F.lit(1)).alias("cochange_count"))
@@ -80,8 +88,8 @@ def dark_matter(coupled: DataFrame, file_edges: DataFrame, least: int = 3, npmi:
 
 def hyperedges(changes: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
     """(commit_id, file_count, sig_hash): one per commit of 2..100 files; equal sets have equal signatures."""
-    b = touched(changes).groupBy("commit_id").agg(F.count(F.lit(1)).alias("file_count"), F.sort_array(F.collect_list("file_id")).alias("fs")).filter(F.col("file_count").between(least, most))
-    return b.select("commit_id", "file_count", F.substring(F.sha2(F.array_join(F.transform("fs", lambda x: x.cast("string")), "|"), 256), 1, 16).alias("sig_hash"), "fs")
+    b = _gathered(changes, least, most)
+    return b.select("commit_id", F.col("n").alias("file_count"), F.substring(F.sha2(F.array_join(F.transform("fs", lambda x: x.cast("string")), "|"), 256), 1, 16).alias("sig_hash"), "fs")
 
 
 def hyperedge_members(changes: DataFrame) -> DataFrame:

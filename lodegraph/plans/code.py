@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import case_style, r6
+from ..functions.scalars import ERFC_TERMS, case_style, r6
 from ..operators import history as H
 from ..operators import relational as R
 from ..operators import scores as S
@@ -165,11 +165,41 @@ SLOPE = ", sl AS (SELECT a.series, median((b.value - a.value) / (b.idx - a.idx))
 put("theil_sen", SLOPE + " SELECT series, round(any_value(slope), 6) AS slope, round(median(value - slope * idx), 6) AS intercept, count(*) AS n, CASE WHEN any_value(slope) > 0.01 THEN 'increasing' WHEN any_value(slope) < -0.01 THEN 'decreasing' ELSE 'stable' END AS direction FROM series JOIN sl USING (series) GROUP BY 1 HAVING count(*) >= 4")(lambda s, d: _rounded(TS.theil_sen(Tables(s, d).series), "slope", "intercept"))
 MK = ", ss AS (SELECT a.series, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s FROM series a JOIN series b ON a.series = b.series AND a.idx < b.idx GROUP BY 1), nn AS (SELECT series, count(*) AS n FROM series GROUP BY 1), ti AS (SELECT series, sum(t * (t - 1) * (2 * t + 5)) AS tied FROM (SELECT series, value, count(*) AS t FROM series GROUP BY 1, 2) GROUP BY 1)"
 put("mann_kendall_s", MK + ", v AS (SELECT series, n, s, (n * (n - 1) * (2 * n + 5) - tied) / 18.0 AS var FROM ss JOIN nn USING (series) JOIN ti USING (series)) SELECT series, n, s, round(CASE WHEN var <= 0 OR s = 0 THEN 0 WHEN s > 0 THEN (s - 1) / sqrt(var) ELSE (s + 1) / sqrt(var) END, 6) AS z FROM v WHERE n >= 8")(lambda s, d: _rounded(TS.mann_kendall(Tables(s, d).series).drop("p", "trend"), "z"))
-put("mann_kendall_p", None)(lambda s, d: _rounded(TS.mann_kendall(Tables(s, d).series, ties=False, alpha=0.10), "z", "p"))
-put("western_electric", None)(lambda s, d: TS.western_electric(Tables(s, d).series))
+_T = "(1.0 / (1.0 + abs(z) / sqrt(2.0) / 2))"
+
+
+def _erfc_sql() -> str:
+    poly = repr(ERFC_TERMS[-1])
+    for a in reversed(ERFC_TERMS[1:-1]):
+        poly = f"({a!r} + {_T} * {poly})"
+    return f"{_T} * exp(-(z * z / 2.0) - ({ERFC_TERMS[0]!r}) - {_T} * {poly})".replace("- (-", "+ (")
+
+
+put(
+    "mann_kendall_p",
+    MK + ", v AS (SELECT series, n, s, n * (n - 1) * (2 * n + 5) / 18.0 AS var FROM ss JOIN nn USING (series)), z AS (SELECT series, n, s, CASE WHEN var <= 0 OR s = 0 THEN 0.0 WHEN s > 0 THEN (s - 1) / sqrt(var) ELSE (s + 1) / sqrt(var) END::DOUBLE AS z FROM v WHERE n >= 8), p AS (SELECT *, " + _erfc_sql() + " AS p FROM z) SELECT series, n, s, round(z, 6) AS z, round(p, 6) AS p, CAST(p < 0.10 AS INTEGER) AS trend FROM p",
+)(lambda s, d: _rounded(TS.mann_kendall(Tables(s, d).series, ties=False, alpha=0.10), "z", "p"))
+U = MAD + ", u AS (SELECT series, idx, value, (value - med) / greatest(mad * 1.4826, 1e-9) AS u FROM dv JOIN md USING (series))"
+
+
+def _last(k: int) -> str:
+    return f"OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+
+
+WE = U + (
+    ", st AS (SELECT *, sign(value - lag(value) OVER (PARTITION BY series ORDER BY idx)) AS step FROM u), tu AS (SELECT *, CAST(step * lag(step) OVER (PARTITION BY series ORDER BY idx) < 0 AS INT) AS turn FROM st), h AS (SELECT series, idx, "
+    f"abs(u) > 3 AS r1, count(*) {_last(3)} = 3 AND (sum(CAST(u > 2 AS INT)) {_last(3)} >= 2 OR sum(CAST(u < -2 AS INT)) {_last(3)} >= 2) AS r2, count(*) {_last(5)} = 5 AND (sum(CAST(u > 1 AS INT)) {_last(5)} >= 4 OR sum(CAST(u < -1 AS INT)) {_last(5)} >= 4) AS r3, "
+    f"count(*) {_last(8)} = 8 AND (sum(CAST(u > 0 AS INT)) {_last(8)} = 8 OR sum(CAST(u < 0 AS INT)) {_last(8)} = 8) AS r4, count(*) {_last(6)} = 6 AND (sum(CAST(step > 0 AS INT)) {_last(5)} = 5 OR sum(CAST(step < 0 AS INT)) {_last(5)} = 5) AS r5, "
+    f"count(*) {_last(14)} = 14 AND sum(turn) {_last(12)} = 12 AS r6 FROM tu) SELECT series, idx, unnest(list_filter([CASE WHEN r1 THEN 1 END, CASE WHEN r2 THEN 2 END, CASE WHEN r3 THEN 3 END, CASE WHEN r4 THEN 4 END, CASE WHEN r5 THEN 5 END, CASE WHEN r6 THEN 6 END], lambda x: x IS NOT NULL)) AS rule FROM h"
+)
+put("western_electric", WE)(lambda s, d: TS.western_electric(Tables(s, d).series))
 put("we_rule1", MAD + " SELECT series, idx, 1 AS rule FROM dv JOIN md USING (series) WHERE abs((value - med) / greatest(mad * 1.4826, 1e-9)) > 3")(lambda s, d: TS.western_electric(Tables(s, d).series).filter("rule = 1"))
 put("we_rule2", MAD + ", u AS (SELECT series, idx, (value - med) / greatest(mad * 1.4826, 1e-9) AS u FROM dv JOIN md USING (series)), w AS (SELECT series, idx, count(*) OVER x AS n, sum(CAST(u > 2 AS INT)) OVER x AS hi, sum(CAST(u < -2 AS INT)) OVER x AS lo FROM u WINDOW x AS (PARTITION BY series ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT series, idx, 2 AS rule FROM w WHERE n = 3 AND (hi >= 2 OR lo >= 2)")(lambda s, d: TS.western_electric(Tables(s, d).series).filter("rule = 2"))
-put("cusum", None)(lambda s, d: TS.cusum(Tables(s, d).series))
+put(
+    "cusum",
+    U + ", n AS (SELECT series, idx, u, row_number() OVER (PARTITION BY series ORDER BY idx) AS k FROM u), f AS (SELECT series, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, CAST(NULL AS BIGINT) AS idx, 0 AS side FROM (SELECT DISTINCT series FROM n) UNION ALL SELECT series, k, CASE WHEN hi > 2 OR lo > 2 THEN 0 ELSE hi END, CASE WHEN hi > 2 OR lo > 2 THEN 0 ELSE lo END, idx, CASE WHEN hi > 2 THEN 1 WHEN lo > 2 THEN -1 ELSE 0 END FROM (SELECT f.series, n.k, greatest(0.0, hi + u - 0.25) AS hi, greatest(0.0, lo - u - 0.25) AS lo, n.idx FROM f JOIN n ON n.series = f.series AND n.k = f.k + 1)) SELECT series, idx, side FROM f WHERE side <> 0",
+    recursive=True,
+)(lambda s, d: TS.cusum(Tables(s, d).series, 0.25, 2.0))
 put("lag_deltas", ", l AS (SELECT series, idx, value, value - lag(value) OVER (PARTITION BY series ORDER BY idx) AS delta FROM series) SELECT *, CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'flat' END AS direction FROM l WHERE delta IS NOT NULL")(lambda s, d: TS.lag_deltas(Tables(s, d).series))
 put("rate_of_change", ", l AS (SELECT series, idx, value, lag(value) OVER (PARTITION BY series ORDER BY idx) AS b FROM series) SELECT series, idx, round((value - b) / abs(b), 6) AS rate FROM l WHERE b <> 0 AND abs((value - b) / abs(b)) >= 0.2")(lambda s, d: _rounded(TS.rate_of_change(Tables(s, d).series), "rate"))
 put("trend_rule", " SELECT series, idx, value, round(avg(value) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS mean FROM series")(lambda s, d: _rounded(TS.moving_average(Tables(s, d).series), "mean"))

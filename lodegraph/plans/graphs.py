@@ -77,7 +77,10 @@ DIRECT = "SELECT id, CASE id % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'database' EL
 rec("effects_propagated", CLO + f", direct AS ({DIRECT}), al AS (SELECT id, effect FROM direct UNION SELECT c.src, effect FROM clo c JOIN direct d ON d.id = c.dst) SELECT id, effect, CASE WHEN EXISTS (SELECT 1 FROM direct d WHERE d.id = al.id AND d.effect = al.effect) THEN 'direct' ELSE 'transitive' END AS source FROM al")(
     lambda s, d: (lambda t: G.effects(t.graph, t.symbols.filter("id % 15 = 2").select("id", F.expr("CASE id % 3 WHEN 0 THEN 'network' WHEN 1 THEN 'database' ELSE 'filesystem' END").alias("effect"))))(Tables(s, d))
 )
-put("extinction", None)(lambda s, d: G.extinction(Tables(s, d).graph, Tables(s, d).symbols.filter("id % 9 = 4").select("id")))
+rec(
+    "extinction",
+    ", ex AS (SELECT 0 AS round, list(id) AS dead, list(id) AS new FROM symbols WHERE id % 9 = 4 UNION ALL SELECT round + 1, list_concat(dead, more), more FROM (SELECT round, dead, (SELECT coalesce(list(src), []) FROM (SELECT src, bool_and(list_contains(dead, dst)) AS gone FROM graph GROUP BY src) WHERE gone AND NOT list_contains(dead, src)) AS more FROM ex) WHERE len(more) > 0) SELECT unnest(new) AS id, CAST(round AS BIGINT) AS round FROM ex",
+)(lambda s, d: G.extinction(Tables(s, d).graph, Tables(s, d).symbols.filter("id % 9 = 4").select("id")))
 rec("safe_zone", _bfs("SELECT id FROM symbols WHERE id = 3", most=3) + ", wb AS (SELECT 3 AS node, 0 AS dist UNION SELECT g.src, dist + 1 FROM wb JOIN graph g ON g.dst = node WHERE dist < 3), zone AS (SELECT node AS id FROM bf UNION SELECT node FROM wb), und AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph) SELECT CAST(id AS BIGINT) AS id, CAST(EXISTS (SELECT 1 FROM und WHERE und.src = zone.id AND und.dst NOT IN (SELECT id FROM zone)) AS INTEGER) AS boundary FROM zone")(
     lambda s, d: G.safe_zone(Tables(s, d).graph, Tables(s, d).symbols.filter("id = 3").select("id"), 3)
 )

@@ -27,15 +27,15 @@ def _h(*names: str) -> str:
 #: The detectors' conditions and confidences in SQL.
 SQL = {
     "sorting": (f"{_n('sort')} AND nested = 1", "CASE WHEN subscript = 1 THEN 'high' ELSE 'medium' END"),
-    "search-sorted": (f"{_n('search', 'find', 'bolt')} AND compares = 1 AND loop_depth >= 1", "'low'"),
-    "membership": (f"{_n('has_', 'contains', 'exists', 'is_in', 'ring')} AND compares = 1 AND loop_depth >= 1", "'medium'"),
+    "search-sorted": (f"{_n('search_sorted', 'searchsorted', 'find_sorted', 'findsorted', 'in_sorted', 'linear_search', 'linearsearch')} AND compares = 1 AND loop_depth >= 1", "'low'"),
+    "membership": (f"{_n('contain', 'member', 'exist', 'has_', 'in_', 'check', 'includes')} AND compares = 1 AND loop_depth >= 1", "'medium'"),
     "string-concat": ("concat = 1 AND loop_depth >= 1", f"CASE WHEN {_h('add')} THEN 'high' ELSE 'medium' END"),
-    "unique": (f"{_n('unique', 'dedup', 'distinct', 'widget')} AND nested = 1 AND NOT {_h('add')}", "'medium'"),
-    "max-min": (f"{_n('max', 'min', 'largest', 'smallest')} AND compares = 1", "'low'"),
-    "accumulation": (f"{_n('sum', 'total', 'count')} AND accumulates = 1", "'low'"),
-    "fibonacci": (f"{_n('fib', 'nut')} AND self_calls >= 2 AND NOT memo", "'high'"),
+    "unique": (f"{_n('unique', 'dedup', 'distinct', 'remove_dup', 'removedup')} AND nested = 1 AND NOT {_h('add')}", "'medium'"),
+    "max-min": (f"{_n('find_max', 'find_min', 'findmax', 'findmin', 'get_max', 'get_min', 'getmax', 'getmin', 'find_largest', 'find_smallest', 'findlargest', 'findsmallest')} AND compares = 1", "'low'"),
+    "accumulation": (f"{_n('sum', 'total', 'accumulate')} AND accumulates = 1", "'low'"),
+    "fibonacci": (f"{_n('fib')} AND self_calls >= 2 AND NOT memo", "'high'"),
     "nested-lookup": (f"nested = 1 AND compares = 1 AND cc >= 8 AND NOT {_n('grid', 'matrix')}", "'medium'"),
-    "groupby": (f"{_n('group', 'bucket', 'gear')} AND loop_depth >= 1", "'low'"),
+    "groupby": (f"{_n('group', 'bucket', 'partition', 'categorize', 'classify', 'bin_by', 'key_by', 'index_by')} AND loop_depth >= 1", "'low'"),
     "busy-wait": (f"{_h('sleep')} AND loop_depth >= 1 AND NOT {_n('poll', 'retry')}", "'medium'"),
     "regex-in-loop": (f"{_h('compile', 'match')} AND loop_depth >= 1", f"CASE WHEN {_h('compile')} THEN 'high' ELSE 'medium' END"),
     "io-in-loop": (f"{_h('query', 'insert')} AND loop_depth >= 1", f"CASE WHEN {_h('query')} THEN 'high' ELSE 'medium' END"),

@@ -50,7 +50,7 @@ class Tables:
         k, s = F.col("p_partkey"), F.col("p_size")
         kind = F.element_at(F.array(*map(F.lit, ("function", "class", "method", "interface"))), (s % 4 + 1).cast("int"))
         base = F.regexp_replace("p_name", " ", "_")
-        name = F.when(s % 4 == 1, F.regexp_replace(F.initcap("p_name"), " ", "")).when(k % 7 == 0, F.concat(F.lit("get_"), base)).when(k % 7 == 1, F.concat(F.lit("sort_"), base)).otherwise(base)
+        name = F.when(s % 4 == 1, F.regexp_replace(F.initcap("p_name"), " ", "")).when(k % 7 == 0, F.concat(F.lit("get_"), base)).when(k % 7 == 1, F.concat(F.lit("sort_"), base)).otherwise(F.concat(F.element_at(F.array(*map(F.lit, PREFIXES)), (k % 15 + 1).cast("int")), base))
         return p.select(
             k.alias("id"), F.expr("p_partkey div 10").alias("file_id"), name.alias("name"), F.concat(F.lower("p_brand"), F.lit("."), name).alias("qualified"), kind.alias("kind"),
             (k % 10 * 50 + 1).alias("line_start"), (k % 10 * 50 + 10 + s).alias("line_end"), (s % 3 != 0).cast("int").alias("is_exported"), F.when(k % 5 != 0, k - k % 5).alias("parent_id"),
@@ -113,6 +113,9 @@ class Tables:
         return e.select("series", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("idx"), "value")
 
 
+#: What further names start with, by p_partkey % 15: plain names and such as detectors look for.
+PREFIXES = ("", "fib_", "linear_search_", "", "contains_", "group_by_", "", "unique_", "find_max_", "", "sum_", "has_", "", "dedup_", "partition_")
+_PREFIX = "[" + ", ".join(f"'{x}'" for x in PREFIXES) + "][p_partkey % 15 + 1]"
 CALLS = [(10, 1, "sleep"), (9, 2, "sort"), (8, 5, "compile"), (7, 3, "query"), (11, 4, "insert"), (12, 7, "index"), (14, 9, "match"), (15, 2, "add")]
 INVARIANT = [(16, 3, "len"), (17, 5, "load_config"), (18, 1, "now")]
 
@@ -128,8 +131,8 @@ VIEWS = {
     "coarse": "SELECT l_orderkey AS commit_id, l_suppkey AS file_id, CAST(l_quantity AS BIGINT) AS lines_added FROM lineitem",
     "paths": "SELECT p_partkey AS id, lower(p_type) || '/' || lower(p_brand) || '/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.py' AS path, lower(p_type) || '/' || lower(p_brand) AS dir, p_brand AS language, CAST(p_size AS BIGINT) AS line_count FROM part",
     "named": "SELECT *, replace(p_name, ' ', '_') AS base, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') AS pascal FROM part",
-    "symbols": "SELECT p_partkey AS id, p_partkey // 10 AS file_id, CASE WHEN p_size % 4 = 1 THEN pascal WHEN p_partkey % 7 = 0 THEN 'get_' || base WHEN p_partkey % 7 = 1 THEN 'sort_' || base ELSE base END AS name, "
-    "lower(p_brand) || '.' || CASE WHEN p_size % 4 = 1 THEN pascal WHEN p_partkey % 7 = 0 THEN 'get_' || base WHEN p_partkey % 7 = 1 THEN 'sort_' || base ELSE base END AS qualified, "
+    "symbols": "SELECT p_partkey AS id, p_partkey // 10 AS file_id, CASE WHEN p_size % 4 = 1 THEN pascal WHEN p_partkey % 7 = 0 THEN 'get_' || base WHEN p_partkey % 7 = 1 THEN 'sort_' || base ELSE " + _PREFIX + " || base END AS name, "
+    "lower(p_brand) || '.' || CASE WHEN p_size % 4 = 1 THEN pascal WHEN p_partkey % 7 = 0 THEN 'get_' || base WHEN p_partkey % 7 = 1 THEN 'sort_' || base ELSE " + _PREFIX + " || base END AS qualified, "
     "['function', 'class', 'method', 'interface'][p_size % 4 + 1] AS kind, p_partkey % 10 * 50 + 1 AS line_start, p_partkey % 10 * 50 + 10 + p_size AS line_end, CAST(p_size % 3 <> 0 AS INTEGER) AS is_exported, "
     "CASE WHEN p_partkey % 5 <> 0 THEN p_partkey - p_partkey % 5 END AS parent_id FROM named",
     "files": "SELECT id, CASE WHEN id % 11 = 0 THEN 'tests/test_f' ELSE 'src/m' || (id % 7) || '/f' END || id || '.py' AS path, CASE WHEN id % 11 = 0 THEN 'tests' ELSE 'src/m' || (id % 7) END AS dir, CAST(id % 11 = 0 AS INTEGER) AS is_test FROM (SELECT DISTINCT p_partkey // 10 AS id FROM part)",
