@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-#: Up to so many words, a window's hash and place share one 64-bit number (46 bits or more of hash); above, they are sorted as pairs.
+#: Up to so many words, a window's hash and place share one 64-bit number (46 bits or more of hash); above, they are sorted as
+#: pairs. Either way windows whose hashes meet are compared by their words.
 PACKED = 1 << 17
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_digits", "n_marks", "n_stops", "n_distinct"]
@@ -65,12 +66,19 @@ def with_stats(df: DataFrame, text: str, p: str = "", *, more: bool = True) -> D
     same = lambda a, b: F.coalesce(top(a) == top(b), F.lit(False))
     twice = F.filter(F.col(packed), lambda v, i: same(v, F.get(F.col(packed), i + 1)) | ((i > 0) & same(v, F.get(F.col(packed), i - 1))))
     places = f"{p}__places"
-    d = d.withColumn(places, F.array_sort(F.transform(twice, lambda v: v.bitwiseAND(mask))))
+    near = F.transform(twice, lambda v: v.bitwiseAND(mask))
     pairs = f"{p}__pairs"
-    d = d.withColumn(pairs, F.when(some & (m > PACKED), F.array_sort(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.cast("long").alias("i"))))))
+    d = d.withColumn(places, near).withColumn(pairs, F.when(some & (m > PACKED), F.array_sort(F.transform(h, lambda v, i: F.struct(v.alias("v"), i.cast("long").alias("i"))))))
     equal = lambda a, b: F.coalesce(a["v"] == b["v"], F.lit(False))
     twice = F.filter(F.col(pairs), lambda v, i: equal(v, F.get(F.col(pairs), i + 1)) | ((i > 0) & equal(v, F.get(F.col(pairs), i - 1))))
-    far = f"{p}__far"
-    d = d.withColumn(far, F.array_sort(F.transform(twice, lambda v: v["i"])))
-    out["n_repeat_words"] = F.when(F.col(pairs).isNotNull(), _covered(F.col(far))).otherwise(_covered(F.col(places)))
+    # windows whose hashes meet are told apart by their words
+    alike, found = f"{p}__alike", f"{p}__found"
+    at = lambda i, k: F.get(F.col(w), (i + k).cast("int"))
+    d = d.withColumn(alike, F.coalesce(F.transform(twice, lambda v: v["i"]), F.col(places)))
+    d = d.withColumn(found, F.array_sort(F.transform(F.col(alike), lambda i: F.struct(at(i, 0).alias("a"), at(i, 1).alias("b"), at(i, 2).alias("c"), i.alias("i")))))
+    words_same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    kept = F.filter(F.col(found), lambda x, i: words_same(x, F.get(F.col(found), i + 1)) | ((i > 0) & words_same(x, F.get(F.col(found), i - 1))))
+    sure = f"{p}__sure"
+    d = d.withColumn(sure, F.array_sort(F.transform(kept, lambda x: x["i"])))
+    out["n_repeat_words"] = _covered(F.col(sure))
     return d.select(*keep, *[out[k].alias(f"{p}{k}") for k in [*BASE, *(MORE if more else [])]])
