@@ -8,10 +8,12 @@
    size, and writes under temporary names. Dates, record ids and member headers come from the records alone, so a rerun
    writes the same bytes.
 4. The task's result is the manifest of its files; the manifest that Spark commits names one attempt of each task. Files it
-   names are renamed to their final names, and a manifest table marks the archive as complete.
+   names are renamed to their final names, and a manifest table marks the archive as complete; an archive without manifest
+   isn't. Leftovers of lost attempts are deleted then. The number of tasks follows from the payloads' bytes.
 
 Null payloads are empty; null urls are empty targets; equal payloads under one key: the first is the response, the others
-revisit it. Null keys sort first and never are revisit targets for others with keys (min ignores nulls). Empty tables give an archive of no files.
+revisit it. Null keys sort first and never are revisit targets for others with keys (min ignores nulls). Payloads of any length are written and read
+whole, one record in memory. Empty tables give an archive of no files.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import new_path, staged, table
 
 LEAST = 100
 ROLL = 64 << 20
+#: Payload bytes that one sorting task is meant for, and the fewest tasks.
+SHARE, FEWEST = 128 << 20, 16
 DATE = "2024-01-01T00:00:00Z"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 _CRLF = b"\r\n"
@@ -46,15 +50,16 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def record(key: int | None, url: str, payload: bytes, digest: str, target: int | None) -> bytes:
-    """One WARC record, uncompressed; a revisit of `target` if that isn't None."""
+def record(key: int | None, url: str, payload: bytes, digest: str, target: int | None, serial: int = 0) -> bytes:
+    """One WARC record, uncompressed; a revisit of `target` if that isn't None. `serial` tells records of equal key, digest and
+    type apart."""
     http = _HTTP.format(len(payload)).encode()
     block = http if target is not None else http + payload
     kind = "revisit" if target is not None else "response"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{digest}:{kind}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}:{digest}:{kind}' + f':{serial}' * (serial > 0))}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -130,6 +135,7 @@ def _writer(path: str, roll: int):
                 out = None
 
         first_done: set = set()
+        before, serial = None, 0
         for b in batches:
             for key, url, html, digest, kind, to in zip(b["key"], b["url"], b["html"], b["digest"], b["kind"], b["to"], strict=True):
                 key = None if pd.isna(key) else int(key)
@@ -144,7 +150,9 @@ def _writer(path: str, roll: int):
                         mine = target
                     else:
                         first_done = {(key, digest_now)}
-                data = member(record(key, url if isinstance(url, str) else "", payload, digest_now, mine))
+                now = (key, digest_now, mine)
+                before, serial = now, serial + 1 if now == before else 0
+                data = member(record(key, url if isinstance(url, str) else "", payload, digest_now, mine, serial))
                 if out is not None and state["size"] + len(data) > roll:
                     close()
                 if out is None:
@@ -181,20 +189,29 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", url: str =
     """Writes the archive below `path` (in a folder that all executors reach); returns its manifest table."""
     payload = F.coalesce(F.col(html), F.lit(""))
     d = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), payload.alias("html"))
-    marked = d.select("key", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= least)
-    marked = staged(marked.select("key", "digest"), "digests")
+    sizes = staged(d.select("key", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").alias("size")), "digests")
+    marked = sizes.filter(F.col("size") >= least).select("key", "digest")
     firsts = marked.groupBy("digest").agg(F.min("key").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "to")
     pairs = marked.join(firsts, "digest").select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "to")
     rows = d.select("key", "url", "html", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("to"))
-    n = partitions or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(FEWEST, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // SHARE))
     dealt = pairs.union(rows).repartitionByRange(n, "key", "digest").sortWithinPartitions("key", "digest", "kind")
     files = staged(dealt.mapInPandas(_writer(_uri(path), roll), MANIFEST), "files")
     done = staged(files.mapInPandas(_renamer(_uri(path)), MANIFEST), "renamed")
     manifest = done.select("name", "records", "bytes", "sha256")
     manifest.write.parquet(f"{path}/manifest")
+    _sweep(d.sparkSession, path)
     return d.sparkSession.read.parquet(f"{path}/manifest")
 
 
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Deletes what lost attempts of tasks have left under temporary names."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_temporary-*")) or []:
+        fs.delete(found.getPath(), False)
+
+
 def read_warc(manifest: DataFrame, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record of an archive; each file
     must have the digest that its manifest names."""

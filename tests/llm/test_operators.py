@@ -346,3 +346,19 @@ def test_template_groups_close_in_blocks(spark, monkeypatch, spread):
 def _spread_keys(batches, spread, keys):
     near_dedup.SPREAD = spread  # in the worker's own copy of the module
     yield from keys(batches)
+
+
+def test_warc_of_long_and_repeated_records(spark, tmp_path):
+    """A payload of 20 MB, and small equal payloads under one key or none: every record has an id of its own."""
+    pages = [(1, "u", "long text " * 2_000_000), (2, "v", "tiny"), (2, "v", "tiny"), (None, "w", "tiny"), (None, "w", "tiny")]
+    path = str(tmp_path / "w")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "_temporary-lost").write_text("left by a lost attempt")
+    manifest = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    assert not [f for f in os.listdir(path) if f.startswith("_temporary")]
+    ids = []
+    for r in manifest.collect():
+        with open(f"{path}/{r['name']}", "rb") as f:
+            ids += [h["WARC-Record-ID"] for h, _ in warc.records(f)]
+    assert len(ids) == len(set(ids)) == 5
+    assert sorted(r["payload_bytes"] for r in warc.read_warc(manifest, path).collect()) == [4, 4, 4, 4, 20_000_000]
