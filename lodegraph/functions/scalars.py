@@ -69,10 +69,11 @@ def case_style(name: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """An anchored regular expression for a path glob: ** crosses folders, * and ? don't."""
+    """An anchored regular expression for a path glob. In a pattern with ** that alone crosses folders; in one without, * and ? do."""
     import re
 
     out, k = "", 0
+    star, one = ("[^/]*", "[^/]") if "**" in pattern else (".*", ".")
     while k < len(pattern):
         c = pattern[k]
         if pattern[k : k + 3] == "**/":
@@ -80,5 +81,5 @@ def glob_regex(pattern: str) -> str:
         elif pattern[k : k + 2] == "**":
             out, k = out + ".*", k + 2
         else:
-            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), k + 1
+            out, k = out + {"*": star, "?": one}.get(c, re.escape(c)), k + 1
     return f"^{out}$"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,12 @@ def footprint(changed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def adversarial(edges: DataFrame, layers: DataFrame, labels: DataFrame, symbols: DataFrame, fan: int = 10) -> DataFrame:
-    """(check, id, detail): layer skips, cross-cluster edges by unordered pair, exported orphans, large fan-out."""
+    """(check, id, other, detail): layer skips, cross-cluster edges by unordered pair (id, other), exported orphans, large fan-out."""
     la, lb = layers.select(F.col("id").alias("src"), F.col("layer").alias("a")), layers.select(F.col("id").alias("dst"), F.col("layer").alias("b"))
     skip = edges.join(la, "src").join(lb, "dst").filter("abs(b - a) > 1").select(F.lit("layer-skip").alias("check"), F.col("src").alias("id"), F.abs(F.col("b") - F.col("a")).alias("detail"))
     ca, cb = labels.select(F.col("id").alias("src"), F.col("cluster").alias("a")), labels.select(F.col("id").alias("dst"), F.col("cluster").alias("b"))
     cross = edges.join(ca, "src").join(cb, "dst").filter("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    cross = cross.select(F.lit("cross-cluster").alias("check"), (F.col("x") * 1000 + F.col("y")).alias("id"), F.col("n").alias("detail"))
+    cross = cross.select(F.lit("cross-cluster").alias("check"), F.col("x").alias("id"), F.col("n").alias("detail"), F.col("y").alias("other"))
     orphan = symbols.filter("is_exported = 1 AND kind <> 'interface'").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select(F.lit("orphan").alias("check"), "id", F.lit(0).cast("long").alias("detail"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("detail")).filter(F.col("detail") > fan).select(F.lit("fan-out").alias("check"), "id", "detail")
-    return skip.unionByName(cross).unionByName(orphan).unionByName(out)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (cross, skip, orphan, out)).select("check", "id", "other", "detail")

@@ -108,8 +108,8 @@ put("edge_analysis", ", o AS (SELECT src, dst FROM graph WHERE src % 4 <> 1), n
 put("footprint", ", c AS (SELECT id FROM symbols WHERE id % 13 = 6) SELECT (SELECT count(*) FROM c) AS changed, (SELECT count(DISTINCT src) FROM graph WHERE dst IN (SELECT id FROM c) AND src NOT IN (SELECT id FROM c)) AS dependents, (SELECT count(DISTINCT dst) FROM graph WHERE src IN (SELECT id FROM c) AND dst NOT IN (SELECT id FROM c)) AS dependencies")(lambda s, d: W.footprint(Tables(s, d).symbols.filter("id % 13 = 6"), Tables(s, d).graph))
 put(
     "adversarial",
-    ", lay AS (SELECT id, id % 5 AS layer FROM symbols) SELECT 'layer-skip' AS \"check\", src AS id, abs(b.layer - a.layer) AS detail FROM graph JOIN lay a ON a.id = src JOIN lay b ON b.id = dst WHERE abs(b.layer - a.layer) > 1 UNION ALL SELECT 'cross-cluster', least(a.cluster, b.cluster) * 1000 + greatest(a.cluster, b.cluster), count(*) FROM graph JOIN labelled a ON a.id = src JOIN labelled b ON b.id = dst WHERE a.cluster <> b.cluster GROUP BY 2 "
-    "UNION ALL SELECT 'orphan', id, 0 FROM symbols WHERE is_exported = 1 AND kind <> 'interface' AND id NOT IN (SELECT dst FROM graph) UNION ALL SELECT 'fan-out', src, count(*) FROM graph GROUP BY 2 HAVING count(*) > 3",
+    ", lay AS (SELECT id, id % 5 AS layer FROM symbols) SELECT 'layer-skip' AS \"check\", src AS id, CAST(NULL AS BIGINT) AS other, abs(b.layer - a.layer) AS detail FROM graph JOIN lay a ON a.id = src JOIN lay b ON b.id = dst WHERE abs(b.layer - a.layer) > 1 UNION ALL SELECT 'cross-cluster', least(a.cluster, b.cluster), greatest(a.cluster, b.cluster), count(*) FROM graph JOIN labelled a ON a.id = src JOIN labelled b ON b.id = dst WHERE a.cluster <> b.cluster GROUP BY 2, 3 "
+    "UNION ALL SELECT 'orphan', id, NULL, 0 FROM symbols WHERE is_exported = 1 AND kind <> 'interface' AND id NOT IN (SELECT dst FROM graph) UNION ALL SELECT 'fan-out', src, NULL, count(*) FROM graph GROUP BY 2 HAVING count(*) > 3",
 )(lambda s, d: W.adversarial(Tables(s, d).graph, Tables(s, d).symbols.select("id", (F.col("id") % 5).alias("layer")), Tables(s, d).labels, Tables(s, d).symbols, fan=3))
 
 # text

@@ -94,7 +94,7 @@ def test_names_and_globs(spark):
     import re
 
     assert re.match(glob_regex("src/**/x_*.py"), "src/a/b/x_1.py") and re.match(glob_regex("src/**/x_*.py"), "src/x_1.py")
-    assert not re.match(glob_regex("src/*.py"), "src/a/b.py")
+    assert re.match(glob_regex("src/*.py"), "src/a/b.py") and not re.match(glob_regex("**/lib/*.py"), "x/lib/a/b.py")
 
 
 def test_fn_coupling_all_keeps_every_pair(spark, tmp_path):
