@@ -222,13 +222,15 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, ro
     deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     e = cut(e.join(deg, "src"))
     rank = cut(vertices.select("id").join(deg, F.col("id") == F.col("src"), "left").select("id", F.col("src").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = rank.filter("dangling").count() / n
     for _ in range(rounds):
-        lost = rank.filter("dangling").agg(F.sum("rank").alias("s")).first()["s"] or 0.0
         got = e.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         new = rank.join(got, F.col("id") == F.col("dst"), "left").select("id", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"), F.col("rank").alias("old"))
         new = cut(new)
         rank = new.drop("old")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"] < tolerance * n:
+        one = new.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved")).first()
+        lost = one["lost"] or 0.0
+        if tolerance is not None and one["moved"] < tolerance * n:
             break
     return rank.select("id", "rank")
 
