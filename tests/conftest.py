@@ -8,7 +8,8 @@ def spark():
         SparkSession.builder.master("local[4]")
         .appName("tests")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many short plans: quick compilation pays
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
