@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from lodegraph.llm import packing, quality_classifier, quality_rules
+from lodegraph.llm.common import staged
 from lodegraph.llm.registry import ORACLE_SQL, QUERIES
 from lodegraph.llm.textstats import with_stats
 
@@ -38,7 +39,7 @@ def _survivors(rows, width=5, percent=80):
     return {i for i in sets if find(i) == i}
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+@pytest.mark.skipif(not os.path.isdir(DATA) or "SLOW_TESTS" not in os.environ, reason="takes minutes: set SLOW_TESTS")
 def test_stages_against_brute_force(spark, tmp_path):
     """What each stage keeps, against the decision made anew on its own input; texts pass unchanged until the mix."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -58,7 +59,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     stats = with_stats(inputs[0], "text", "s_").select("doc_id", *[c.alias(n) for n, c in quality_classifier.features("s_").items()]).toPandas()
     assert set(texts[1]) == set(stats["doc_id"][model.score(stats[names].to_numpy(dtype=float)) >= quality_classifier.THRESHOLD])
 
-    stats = with_stats(inputs[1], "text").drop("text")
+    stats = staged(with_stats(inputs[1], "text").drop("text"), "stats")
     assert set(texts[2]) == {r["doc_id"] for r in quality_rules.judged(stats, *quality_rules.fit(stats)).filter("kept").collect()}
     assert not [i for i in texts[2] if len((texts[1][i] or "").split()) < 50]
 
@@ -81,3 +82,18 @@ def test_stages_against_brute_force(spark, tmp_path):
     for s in seqs.values():
         ends = [0, *[at + n for at, n in sorted(s)]]
         assert [at for at, _ in sorted(s)] == ends[:-1] and ends[-1] <= packing.SIZE
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert docs.columns == columns
+        if k < 3:
+            assert 0 < docs.count() <= before
+            before = docs.count()
+    assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
