@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from .common import numbered, staged, table
 SIZE = 4096
 END_ID = 1
 PARTNERS = 48
+#: Words whose ids a worker remembers, about 80 MB of them: workers of an executor share its memory.
+REMEMBERED = 400_000
 #: Texts of these characters only are split here and their words' ids remembered; others go to the tokenizer whole.
 _PLAIN = re.compile("[^\t-\r -~¡-ſ‐-‧]")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,7 +69,7 @@ class Encoder(dict):
         """Remembers the ids of whitespace-free strings. Those of several pretokens are put together from them; thousands of
         new pretokens are encoded as one text and told apart by their word-end tokens, of which each has one, its last."""
         new = words - self.keys()
-        if len(self) + len(new) > 1_000_000:
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = words
         fresh, several = set(), []
@@ -94,15 +98,16 @@ class Encoder(dict):
         return [b"" if not t else self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
 
 
-def _chunks(texts: list[str | None], chars: int = 1 << 21) -> Iterator[slice]:
-    """Slices of about `chars` characters, one text at least."""
+def _chunks(lengths: list[int | None], least: int = 1 << 20) -> Iterator[slice]:
+    """Slices of texts of the given bytes that have about `least` bytes, one text at least."""
     start, n = 0, 0
-    for k, t in enumerate(texts):
-        n += len(t or "")
-        if n >= chars:
+    for k, length in enumerate(lengths):
+        n += length or 0
+        if n >= least:
             yield slice(start, k + 1)
             start, n = k + 1, 0
-    yield slice(start, len(texts))
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -125,22 +130,23 @@ def pieces(docs: DataFrame, path: str | None = None, *, size: int = SIZE, keep_i
     by default each executor finds its own."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if keep_ids else {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or vocabulary())
-        for b in batches:
-            out = []
-            names, texts = b.iloc[:, 0].tolist(), b.iloc[:, 1].tolist()
-            for part_of in _chunks(texts):
-                for i, ids in zip(names[part_of], enc.ids(texts[part_of]), strict=True):
+        for b in batches:  # only one slice of a batch becomes Python strings at a time
+            for part_of in _chunks(pc.binary_length(b.column(1)).to_pylist()):
+                at_once = b.slice(part_of.start, part_of.stop - part_of.start)
+                out = []
+                for i, ids in zip(at_once.column(0).to_pylist(), enc.ids(at_once.column(1).to_pylist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]
-                        out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
-            d = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield d.astype({"doc_id": "Int64"}) if keep_ids else d.drop(columns="ids").astype({"doc_id": "Int64"})
+                        out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=False)], names=list(types))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
 Plan = list[tuple[dict[int, int], int]]  # (pieces of each length in a sequence, repeats)

@@ -46,6 +46,15 @@ def test_encoder_equals_the_tokenizer():
     assert e.ids(texts) == [e.whole(t) if t else b"" for t in texts]
 
 
+def test_encoder_remembers_a_bounded_number_of_words():
+    e, most = P.Encoder(P.vocabulary()), 0
+    for k in range(12):  # words that never come again
+        texts = [" ".join(f"{chr(97 + k)}{chr(97 + j)}{n:x}" for n in range(5000)) for j in range(10)]
+        got = e.ids(texts)
+        most = max(most, len(e))
+    assert most < 500_000 and got == [e.whole(t) for t in texts]
+
+
 def test_shingles_and_minhash():
     assert len(N.shingles(None, 4)) == len(N.shingles(" \n\t", 4)) == 0
     assert len(N.shingles("one two", 4)) == 1
