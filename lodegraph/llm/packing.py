@@ -65,13 +65,15 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Remembers the ids of whitespace-free strings. Those of several pretokens are put together from them; thousands of
-        new pretokens are encoded as one text and told apart by their word-end tokens, of which each has one, its last."""
-        new = words - self.keys()
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of different whitespace-free strings; when that gets too many, of these only. Those of several
+        pretokens are put together from them; thousands of new pretokens are encoded as one text and told apart by their
+        word-end tokens, of which each has one, its last."""
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > REMEMBERED:
+            kept = {w: self[w] for w in words if w in self}
             self.clear()
-            new = words
+            self.update(kept)
         fresh, several = set(), []
         for w in new:
             if w.isalpha() or len(parts := self.split(w)) == 1 and parts[0] == w:
@@ -93,12 +95,19 @@ class Encoder(dict):
         self.update((w, b"".join(map(self.__getitem__, parts))) for w, parts in several)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = [None if not t or _PLAIN.search(t) or "<|" in t else t.lower().split() for t in texts]
-        self.learn(set().union(*[w for w in split if w]))
-        return [b"" if not t else self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
-
-
-def _chunks(lengths: list[int | None], least: int = 1 << 20) -> Iterator[slice]:
+        """The ids of each text. Each different word is looked up once; Arrow finds them and lays their ids out in order."""
+        plain = [bool(t) and not _PLAIN.search(t) and "<|" not in t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        self.learn(words)
+        laid = pa.array(list(map(self.__getitem__, words)), pa.large_binary()).take(found.indices)
+        at = np.frombuffer(laid.buffers()[1], dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(laid.buffers()[2] or b"")
+        return [bytes(raw[i:j]) if p else self.whole(t) if t else b"" for t, p, i, j in zip(texts, plain, at, at[1:], strict=False)]
+
+
+def _chunks(lengths: list[int | None], least: int = 1 << 22) -> Iterator[slice]:
     """Slices of texts of the given bytes that have about `least` bytes, one text at least."""
     start, n = 0, 0
     for k, length in enumerate(lengths):

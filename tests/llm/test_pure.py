@@ -55,6 +55,26 @@ def test_encoder_remembers_a_bounded_number_of_words():
     assert most < 500_000 and got == [e.whole(t) for t in texts]
 
 
+def test_encoder_keeps_the_words_in_use_when_it_forgets(monkeypatch):
+    class Counted:
+        def __init__(self, merger):
+            self.merger, self.seen = merger, Counter()
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen.update(w for t in texts for w in t.split())
+            return self.merger.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(P, "REMEMBERED", 1000)
+    e, name = P.Encoder(P.vocabulary()), lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    e.merger = Counted(e.merger)
+    common = [f"common{name(n)}" for n in range(300)]
+    for k in range(10):  # in each round 300 words that come again and 300 that don't
+        texts = [" ".join(common), None, "", " \n", " ".join(f"rare{name(300 * k + n)}." for n in range(300)) + "\n", "日本 é"]
+        assert e.ids(texts) == [e.whole(t) if t else b"" for t in texts] and len(e) <= 1600
+    assert all(e.merger.seen[w] == 1 for w in common)
+    assert e.ids([]) == [] and e.ids([None]) == [b""]
+
+
 def test_shingles_and_minhash():
     assert len(N.shingles(None, 4)) == len(N.shingles(" \n\t", 4)) == 0
     assert len(N.shingles("one two", 4)) == 1
