@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6
 from ..operators import history as H
 from ..sources.adapters import Tables, oracle
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 TOUCHED = ", t AS (SELECT DISTINCT commit_id, file_id FROM {src}), n AS (SELECT commit_id, count(*) AS k FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND {most}), b AS (SELECT t.* FROM t JOIN n USING (commit_id))"
 PAIRS = TOUCHED + ", p AS (SELECT x.file_id AS file_id_a, y.file_id AS file_id_b, count(*) AS cochange_count FROM b x JOIN b y ON x.commit_id = y.commit_id AND x.file_id < y.file_id GROUP BY 1, 2)"
@@ -113,6 +113,12 @@ def fn_coupling(spark: SparkSession, d: str) -> DataFrame:
     return H.fn_coupling(t.changes.withColumn("file_id", F.expr("file_id div 10")), t.symbols, t.graph)
 
 
+@query("fn_coupling_all", ORACLE_SQL["fn_coupling"])
+def fn_coupling_all(spark: SparkSession, d: str) -> DataFrame:
+    """The former name of `fn_coupling`, from when that was a slice."""
+    return fn_coupling(spark, d)
+
+
 @query(
     "bus_factor",
     oracle(
