@@ -79,8 +79,8 @@ def weakest_edges(labels: DataFrame, edges: DataFrame, limit: int = 500) -> Data
 def deepest_chain(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(step, id): a longest path of the condensation, from its source; a component stands as its member of greatest degree.
     Of equal choices the smallest id. One lookup a layer."""
-    labels = cut(G.scc(vertices, edges))
-    layer = cut(labels.join(G.layers(vertices, edges, labels), "id").groupBy("scc").agg(F.max("layer").alias("layer")))
+    labels = cut(G.layered(vertices, edges))
+    layer = cut(labels.groupBy("scc").agg(F.max("layer").alias("layer")))
     a, b = layer.select(_c("scc").alias("src"), _c("layer").alias("la")), layer.select(_c("scc").alias("dst"), _c("layer").alias("lb"))
     before = cut(G.condensed(edges, labels).join(a, "src").join(b, "dst").filter("lb = la + 1").groupBy("dst").agg(F.min("src").alias("src")))
     last = layer.orderBy(F.desc("layer"), "scc").first()

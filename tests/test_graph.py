@@ -126,3 +126,38 @@ def test_components_of_a_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "src long, dst long")
     got = dict(rows(G.components(spark.createDataFrame([(k,) for k in [*range(41), 100, 101, 200]], "id long"), e), "id", "component"))
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 200}
+
+
+def _jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_rounds_do_not_grow_with_depth(spark):
+    """A path of 120 nodes: closure, layers and communities took a round of Spark jobs a step."""
+    e = spark.createDataFrame([(k, k + 1) for k in range(119)], "src long, dst long")
+    v = spark.range(120).select("id")
+    got, n = _jobs(spark, "closure", lambda: G.closure(e).count())
+    assert got == 119 * 120 // 2 and n < 20
+    got, n = _jobs(spark, "layers", lambda: rows(G.layers(v, e), "id", "layer"))
+    assert got == {(k, k) for k in range(120)} and n < 20
+    got, n = _jobs(spark, "louvain", lambda: G.modularity(e, G.louvain(v, e)).first()[0])
+    assert got > 0.8 and n < 40
+
+
+def test_pieces_equal_the_whole(spark, monkeypatch):
+    """Components dealt to bins, one of them too large for a task, give what one task gives."""
+    rng = random.Random(4)
+    e = [(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(20)) if a != b]
+    e += [(20, 21), (21, 22), (22, 20), (22, 23), (30, 31), (31, 31), (40, 41), (41, 40)]
+    v, e = spark.range(45).select("id"), spark.createDataFrame(sorted(set(e)), "src long, dst long")
+    run = lambda: [rows(G.closure(e, at), "src", "dst") for at in (G.IN_ONE_TASK, 5)] + [rows(G.layered(v, e, at), "id", "scc", "layer") for at in (G.IN_ONE_TASK, 5)]
+    whole, labels = run(), rows(G.louvain(v, e), "id", "cluster")
+    assert whole[0] == whole[1] and whole[2] == whole[3]
+    monkeypatch.setattr(G, "A_TASK", 3)
+    assert run() == whole and rows(G.louvain(v, e), "id", "cluster") == labels
+    assert G.modularity(e, G.louvain(v, e, 5)).first()[0] > 0.9 * G.modularity(e, G.louvain(v, e)).first()[0]
