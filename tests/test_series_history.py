@@ -108,3 +108,25 @@ def test_fn_coupling_all_keeps_every_pair(spark, tmp_path):
     spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_quantity double, l_tax double, l_returnflag string, l_discount double, l_shipdate string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {tuple(r) for r in registry.QUERIES["fn_coupling_all"](spark, str(tmp_path)).select("a", "b", "cochange_count").collect()}
     assert got == {(a, b, 3) for a in range(10, 20) for b in range(20, 30)} - {(10, 20, 3)}
+
+
+def test_pairs_take_tasks_by_input(spark):
+    """Partitions were put together by compressed bytes, so a task's memory grew with the input."""
+    from lodegraph.functions.lineage import tasks_for
+    from lodegraph.operators import history as H
+
+    assert tasks_for(spark.range(1_000_000)) == 7 and tasks_for(spark.createDataFrame([(1,)], "id long")) == 2
+    changes = spark.range(400_000).selectExpr("id div 4 AS commit_id", "id % 4 AS file_id")
+    pairs = H.cochange_pairs(changes)
+    assert pairs.rdd.getNumPartitions() >= 4
+    assert {tuple(r) for r in pairs.collect()} == {(a, b, 100_000) for a in range(4) for b in range(a + 1, 4)}
+
+
+def test_fn_coupling_holds_tied_pairs_of_near_files_only(spark):
+    from lodegraph.operators import history as H
+
+    changes = spark.createDataFrame([(c, f) for c in range(3) for f in (1, 2, 3)] + [(9, 1), (9, 4)], "commit_id long, file_id long")
+    symbols = spark.createDataFrame([(10 * f + k, f) for f in range(1, 5) for k in range(3)], "id long, file_id long")
+    edges = spark.createDataFrame([(20, 11), (11, 20), (12, 42), (10, 12)], "src long, dst long")
+    got = {tuple(r) for r in H.fn_coupling(changes, symbols, edges).collect()}
+    assert got == {(10 * f + a, 10 * g + b, 3) for f, g in ((1, 2), (1, 3), (2, 3)) for a in range(3) for b in range(3)} - {(11, 20, 3)}
