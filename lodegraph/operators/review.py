@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, tasks_for
 from . import graph as G
 
 #: First parts of names that outside callers may use.
@@ -193,12 +193,19 @@ def at_risk(symbols: DataFrame, metrics: DataFrame, churn: DataFrame, least: flo
 
 def match_spans(spans: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(name, file, id, how) of distinct spans (name, file): the one symbol of that name whose path ends with the file, else
-    the one symbol of that name, else none."""
+    the one symbol of that name, else none. Paths' ends of the lengths that files have are joined with them, so frequent
+    names multiply nothing; the lengths are one row, at most as many as the longest path has letters."""
     want = spans.select("name", "file").distinct()
     n = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("only"))
     s = symbols.select(_c("id").alias("sid"), "name", "file_id").join(files.select(_c("id").alias("file_id"), "path"), "file_id")
-    ends = want.filter(_c("file").isNotNull()).join(s, "name").filter(_c("path").endswith(F.regexp_replace("file", r"\\\\", "/"))).groupBy("name", "file").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("here"))
-    d = want.join(n, "name", "left").join(ends.withColumnsRenamed({"name": "en", "file": "ef"}), (_c("name") == _c("en")) & _c("file").eqNullSafe(_c("ef")), "left")
+    look = want.filter(_c("file").isNotNull()).withColumn("end", F.regexp_replace("file", r"\\\\", "/"))
+    longest = files.agg(F.max(F.length("path")).alias("longest"))
+    lengths = look.select(F.length("end").alias("l")).distinct().crossJoin(F.broadcast(longest)).filter("l <= longest").agg(F.collect_list("l").alias("ls"))  # one row
+    tasks = tasks_for(symbols, 1 << 17)  # a few bytes of a column stand for many ends
+    tails = s.repartition(tasks, "sid").crossJoin(F.broadcast(lengths)).select("sid", "name", "path", F.explode(F.filter("ls", lambda x: x <= F.length("path"))).alias("l")).select("sid", "name", F.expr("right(path, l)").alias("end"))
+    tails = tails.repartition(tasks, "name", "end").groupBy("name", "end").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("here"))
+    ends = look.join(tails, ["name", "end"]).select("name", "file", "m", "here")
+    d = want.join(n, "name", "left").join(ends.withColumnsRenamed({"name": "en", "file": "ef"}), (_c("name") == _c("en")) & (_c("file") == _c("ef")), "left")
     exact, alone = _c("m") == 1, _c("n") == 1
     return d.select("name", "file", F.when(exact, _c("here")).when(alone, _c("only")).alias("id"), F.when(exact, "path").when(alone, "name").otherwise("none").alias("how"))
 

@@ -57,3 +57,16 @@ def test_empty_tables(spark):
     edges, files = _frame(spark, [], "src long, dst long, kind string"), _frame(spark, [], "id long, path string, dir string, is_test int")
     assert V.safe_delete(symbols, edges, files).count() == 0 and V.change_set(symbols, edges, files).count() == 0
     assert V.deepest_chain(symbols, edges).count() == 0 and V.match_packages(_frame(spark, [("x",)], "package string"), symbols, edges).count() == 0
+
+
+def test_spans_of_a_frequent_name(spark):
+    """Every symbol of a name was held against every file asked for: 3,000 of one name made 9,000,000 pairs."""
+    files = _frame(spark, [(k, f"src/m{k % 7}/f{k}.py") for k in range(3000)], "id long, path string")
+    symbols = _frame(spark, [(k, k, "run") for k in range(3000)] + [(9000, 5, "alone")], "id long, file_id long, name string")
+    asked = [("run", f"/f{k}.py") for k in range(3000)] + [("run", "f.py"), ("run", ""), ("run", None), ("alone", "x.py"), ("gone", "f1.py"), ("run", "x" * 99)]
+    d = V.match_spans(_frame(spark, asked, "name string, file string"), symbols, files)
+    got = {(r["name"], r["file"]): (r["id"], r["how"]) for r in d.collect()}
+    want = {("run", f"/f{k}.py"): (k, "path") for k in range(3000)}
+    want |= {("run", x): (None, "none") for x in ("f.py", "", None, "x" * 99)} | {("alone", "x.py"): (9000, "name"), ("gone", "f1.py"): (None, "none")}
+    assert got == want
+    assert "endswith" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
