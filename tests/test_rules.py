@@ -94,3 +94,18 @@ def test_partition_and_severity(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(0, 12, 2)], "src long, dst long")
     sizes = [r["count"] for r in C.partition(v, e, 3).groupBy("part").count().collect()]
     assert sum(sizes) == 12 and max(sizes) - min(sizes) <= 2
+
+
+def test_counts_in_place_equal_counts_by_shuffle(spark):
+    """Rows are counted where they are read; an id that comes twice is counted over all of its rows."""
+    texts = ["parseURLQuick HTTPServer servers served the THE", "ABCd aBcD a1B2c x", "Kelvin İstanbul naïve cafés", None, "", "running RUNNING runningRunning", "a.b,c;dd"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    plan = T.counted(d, "doc", "text")
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in T.term_counts(T.tokens(d, "doc", "text")).collect()}
+    most = {}
+    for doc, _, n in want:
+        most[doc] = max(n, most.get(doc, 0))
+    assert {tuple(r) for r in plan.collect()} == {(doc, t, n, most[doc]) for doc, t, n in want}
+    twice = spark.createDataFrame([(1, "car"), (1, "cars bus"), (2, "car")], "doc long, text string")
+    assert {tuple(r) for r in T.counted(twice, "doc", "text").collect()} == {(1, "car", 2, 2), (1, "bus", 1, 2), (2, "car", 1, 1)}
