@@ -225,12 +225,13 @@ def best_match(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFra
     """(ref, id, how) of references (ref, name, kind, file, dir, parent, import_dir): the symbol that a name means. Alone; a
     call of an upper-case name means a class (same file, same folder, first); same file (first under the same parent); same
     folder (exported first); the imported folder (exported first); exported; first. First is the smallest id. Candidates are
-    reduced to one for each name and place before they are joined, so frequent names multiply nothing."""
-    s = symbols.select("id", "name", "kind", "qualified", "is_exported", "file_id").join(files.select(_c("id").alias("file_id"), "path", "dir"), "file_id")
+    reduced to one for each name and place before they are joined, so frequent names multiply nothing. The candidates grow with
+    the symbols: they are merged, as broadcasts would pass through the driver."""
+    s = symbols.select("id", "name", "kind", "qualified", "is_exported", "file_id").join(files.select(_c("id").alias("file_id"), "path", "dir").hint("merge"), "file_id")
     klass, shown = _c("kind") == "class", _c("is_exported") == 1
     pick = lambda when: F.min(F.when(when, _c("id"))) if when is not None else F.min("id")
-    first = lambda by, p: s.groupBy(*[_c(b).alias(f"{p}_{b}") for b in by]).agg(F.count(F.lit(1)).alias(f"{p}_n"), pick(None).alias(f"{p}_any"), pick(shown).alias(f"{p}_shown"), pick(klass).alias(f"{p}_class"))
-    scope = s.withColumn("scope", F.regexp_extract("qualified", r"^(.*?)(\.|::)[^.:]*$", 1)).groupBy(_c("name").alias("s_name"), _c("path").alias("s_path"), _c("scope").alias("s_scope")).agg(F.min("id").alias("s_any"))
+    first = lambda by, p: s.groupBy(*[_c(b).alias(f"{p}_{b}") for b in by]).agg(F.count(F.lit(1)).alias(f"{p}_n"), pick(None).alias(f"{p}_any"), pick(shown).alias(f"{p}_shown"), pick(klass).alias(f"{p}_class")).hint("merge")
+    scope = s.withColumn("scope", F.regexp_extract("qualified", r"^(.*?)(\.|::)[^.:]*$", 1)).groupBy(_c("name").alias("s_name"), _c("path").alias("s_path"), _c("scope").alias("s_scope")).agg(F.min("id").alias("s_any")).hint("merge")
     d = refs.join(first(["name"], "a"), _c("name") == _c("a_name"), "left").join(first(["name", "path"], "f"), (_c("name") == _c("f_name")) & (_c("file") == _c("f_path")), "left")
     d = d.join(first(["name", "dir"], "d"), (_c("name") == _c("d_name")) & (_c("dir") == _c("d_dir")), "left").join(first(["name", "dir"], "i"), (_c("name") == _c("i_name")) & (_c("import_dir") == _c("i_dir")), "left")
     d = d.join(scope, (_c("name") == _c("s_name")) & (_c("file") == _c("s_path")) & (_c("parent") == _c("s_scope")), "left")

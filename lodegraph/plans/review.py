@@ -206,10 +206,10 @@ _REFS = (
 def best_match(spark: SparkSession, d: str) -> DataFrame:
     """Every edge as a reference by name from its source; imports know the folder of their target."""
     t = Tables(spark, d)
-    s = t.symbols.join(t.files.select(F.col("id").alias("file_id"), "path", "dir"), "file_id")
+    s = t.symbols.join(t.files.select(F.col("id").alias("file_id"), "path", "dir").hint("merge"), "file_id")
     a = s.select(F.col("id").alias("src"), F.col("path").alias("file"), "dir", F.regexp_extract("qualified", r"^(.*?)(\.|::)[^.:]*$", 1).alias("parent"))
     b = s.select(F.col("id").alias("dst"), "name", F.col("dir").alias("to_dir"))
-    refs = t.edges.join(a, "src").join(b, "dst").select(F.struct((F.col("src") * 1000000 + F.col("dst")).alias("ref"), "kind").alias("ref"), "name", "kind", "file", "dir", "parent", F.when(F.col("kind") == "import", F.col("to_dir")).alias("import_dir"))
+    refs = t.edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select(F.struct((F.col("src") * 1000000 + F.col("dst")).alias("ref"), "kind").alias("ref"), "name", "kind", "file", "dir", "parent", F.when(F.col("kind") == "import", F.col("to_dir")).alias("import_dir"))
     return V.best_match(refs, t.symbols, t.files).select("ref.ref", "ref.kind", "id", "how")
 
 

@@ -70,3 +70,12 @@ def test_spans_of_a_frequent_name(spark):
     want |= {("run", x): (None, "none") for x in ("f.py", "", None, "x" * 99)} | {("alone", "x.py"): (9000, "name"), ("gone", "f1.py"): (None, "none")}
     assert got == want
     assert "endswith" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_best_match_sends_no_candidates_through_the_driver(spark):
+    symbols = _frame(spark, [(1, 1, "run", "a.run", "function", 1), (2, 2, "run", "b.run", "function", 0)], "id long, file_id long, name string, qualified string, kind string, is_exported int")
+    files = _frame(spark, [(1, "x/f.py", "x"), (2, "y/g.py", "y")], "id long, path string, dir string")
+    refs = _frame(spark, [(7, "run", "call", "z/h.py", "z", "", None), (8, "run", "call", "y/g.py", "y", "b", None)], "ref long, name string, kind string, file string, dir string, parent string, import_dir string")
+    d = V.best_match(refs, symbols, files)
+    assert {tuple(r) for r in d.collect()} == {(7, 1, "exported"), (8, 2, "file")}
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
